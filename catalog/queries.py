@@ -73,12 +73,9 @@ def on_both(op: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
 
 # --- sources -------------------------------------------------------------------
 
-_OPTIONS = csv.CsvOptions()
-
-
 def scan_headerless_csv(spark: SparkSession, sf: str) -> DataFrame:
-    raw = csv.scan_text(sample.billing_text(tune(spark), sf), _OPTIONS)
-    return raw.select(
+    fields = csv.text_fields(sample.billing_text(tune(spark), sf))
+    return fields.select(
         F.col("_c20").alias("c20"),
         F.col("_c43").alias("c43"),
         F.col("_c52").alias("c52"),
@@ -110,9 +107,8 @@ def _ragged_text(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def scan_ragged_rows(spark: SparkSession, sf: str) -> DataFrame:
-    raw = csv.scan_text(_ragged_text(tune(spark), sf), _OPTIONS)
-    kept = csv.keep_fitting_rows(raw, _OPTIONS)
-    return kept.select("source_file", *[F.col(f"_c{i}").alias(f"c{i}") for i in range(4)])
+    fields = csv.text_fields(_ragged_text(tune(spark), sf), csv.CsvOptions(scan_width=4))
+    return fields.select("source_file", *[F.col(f"_c{i}").alias(f"c{i}") for i in range(4)])
 
 
 def scan_null_tokens(spark: SparkSession, sf: str) -> DataFrame:

@@ -52,11 +52,12 @@ def field_count(record: Column) -> Column:
     """Number of CSV fields in the text of one record, quotes respected.
 
     Escaped quotes go first, so what is left of a quoted field is one simple
-    run that a linear pattern removes.
+    run. A comma in front lets the pattern start with a literal, which the regex
+    engine finds fast.
     """
     unescaped = F.replace(record, F.lit('""'), F.lit(""))
-    bare = F.regexp_replace(unescaped, r'(^|,)"[^"]*"', "$1")
-    return F.size(F.split(bare, ",", -1))
+    bare = F.regexp_replace(F.concat(F.lit(","), unescaped), ',"[^"]*"', ",")
+    return F.size(F.split(bare, ",", -1)) - 1
 
 
 def file_name(uri_name: Column) -> Column:

@@ -288,6 +288,6 @@ def billing_text(spark: SparkSession, sf_dir: str, width: int = 176) -> DataFram
     goods = POSITIONS["goods_description"]
     if goods < width:
         quoted[goods] = F.concat(F.lit('"'), text(goods), F.lit('"'))
-    return fields.select(
-        F.concat_ws(",", *quoted.values()).alias("value"), "source_file", "line_ord"
-    )
+    # Exploded, so that the text is put together once and not in every use of it.
+    record = F.concat_ws(",", *quoted.values())
+    return fields.select(F.explode(F.array(record)).alias("value"), "source_file", "line_ord")
