@@ -55,9 +55,11 @@ def tracked(lines: DataFrame) -> DataFrame:
     return lines.filter(F.col("tracking_number").isNotNull())
 
 
-def attributes(base: DataFrame) -> DataFrame:
+def attributes(base: DataFrame, *known: str) -> DataFrame:
     """Per tracking number, the first non-null value of each attribute column.
 
+    ``known`` names columns that are the same on all rows of a number, to be kept.
+
     ``service_name`` is the freight row's description, null where that is null.
     In a table without freight rows it is the name derived for the line, and
     ``charge_description`` is null.
@@ -74,7 +76,7 @@ def attributes(base: DataFrame) -> DataFrame:
     names = (*PACKAGE_ATTRIBUTES, "charge_description", "service_name")
     return (
         tracked(described)
-        .groupBy("tracking_number")
+        .groupBy("tracking_number", *known)
         .agg(*[first_non_null(n).alias(n) for n in names])
     )
 
