@@ -1,3 +1,4 @@
+import re
 from datetime import date
 
 import pytest
@@ -6,7 +7,7 @@ from freightlens import CsvOptions, manifest, read_content, read_files, read_fol
 from freightlens.functions.text import field_count
 from freightlens.schema import DOCUMENTED_SERVICE_NAMES, LINES_SCHEMA
 from freightlens.sources.sinks import land_lines, write_tables
-from tests.helpers import csv_row, rows
+from tests.helpers import csv_row, plan, rows
 
 BASE = {
     "version": "2.1",
@@ -42,7 +43,7 @@ def folder(tmp_path_factory):
     return d
 
 
-@pytest.mark.parametrize("multiline", [True, False])
+@pytest.mark.parametrize("multiline", ["auto", True, False])
 def test_folder(spark, folder, multiline):
     lines = read_folder(spark, str(folder), CsvOptions(multiline=multiline))
     assert lines.schema.fieldNames() == LINES_SCHEMA.fieldNames()
@@ -64,7 +65,7 @@ def test_folder(spark, folder, multiline):
     assert (dirty.shipment_date, dirty.recipient_country) == (None, None)
 
 
-@pytest.mark.parametrize("multiline", [True, False])
+@pytest.mark.parametrize("multiline", ["auto", True, False])
 def test_list_of_files_keeps_its_order(spark, folder, multiline):
     paths = [str(folder / n) for n in ("ragged.csv", "missing.csv", "dirty.csv", "utf8 full+.csv")]
     lines = read_files(spark, paths, CsvOptions(multiline=multiline))
@@ -84,7 +85,7 @@ def test_nothing_to_read(spark, tmp_path):
 
 def test_first_row_sets_the_width(spark, tmp_path):
     (tmp_path / "a.csv").write_text("a,b\nc,d,e\nf\n")
-    for multiline in (True, False):
+    for multiline in ("auto", True, False):
         lines = read_folder(spark, str(tmp_path), CsvOptions(multiline=multiline))
         assert sorted(rows(lines, "version", "account_number")) == [("a", "b"), ("f", None)]
         every = read_folder(spark, str(tmp_path), CsvOptions(multiline=multiline, width=None))
@@ -96,7 +97,7 @@ def test_first_row_sets_the_width(spark, tmp_path):
 def test_rows_wider_than_the_map(spark, tmp_path):
     wide = csv_row(**BASE) + "," * 74
     (tmp_path / "a.csv").write_text(f"{wide}\n{wide},x\n{csv_row(**BASE)}\n")
-    for multiline in (True, False):
+    for multiline in ("auto", True, False):
         lines = read_folder(spark, str(tmp_path), CsvOptions(multiline=multiline))
         assert rows(lines, "tracking_number") == [("1Z1",)] * 2
 
@@ -119,9 +120,13 @@ def test_first_row_is_found_in_a_file_of_many_splits(spark, tmp_path):
 def test_line_breaks_in_fields(spark, tmp_path):
     text = csv_row(**{**BASE, "recipient_city": "one\ntwo"}) + "\n" + csv_row(**BASE) + "\n"
     (tmp_path / "a.csv").write_text(text)
+    (tmp_path / "plain.csv").write_text(csv_row(**{**BASE, "recipient_city": "Ulm"}))
     want = ["one\ntwo", "München"]
     lines = read_folder(spark, str(tmp_path)).orderBy("line_ord")
-    assert [r[0] for r in rows(lines, "recipient_city")] == want
+    assert [r[0] for r in rows(lines, "recipient_city")] == [*want, "Ulm"]
+    files = re.findall(r"FileScan (\w+) .*?Location: \w+\(1 paths\)", plan(lines))
+    assert {"text", "csv"} <= set(files)
+    assert [r[1] for r in sorted(rows(manifest(spark, str(tmp_path)), "source_file", "rows"))] == [2, 1]
     uploaded = read_content(spark, text, "up.csv").orderBy("line_ord")
     assert rows(uploaded, "source_file", "recipient_city") == [("up.csv", c) for c in want]
 
