@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from freightlens.functions.ordering import first_non_null
+from freightlens.schema import MONTH_PARTITION
 
 _SEPARATOR = " - "
 
@@ -24,12 +25,18 @@ def filter_lines(
     """Keep the lines that meet every given condition; a null never meets one.
 
     Packages are to be rolled up from what is left, so a charge line that does
-    not carry the country or service itself falls out of its package's total.
+    not carry the country or service itself falls out of its package's total. On
+    a landed table, dates also name the months to read.
     """
+    by_month = MONTH_PARTITION in lines.columns
     if start_date:
         lines = lines.filter(F.col("shipment_date") >= F.lit(str(start_date)).cast("date"))
+        if by_month:
+            lines = lines.filter(F.col(MONTH_PARTITION) >= str(start_date)[:7])
     if end_date:
         lines = lines.filter(F.col("shipment_date") <= F.lit(str(end_date)).cast("date"))
+        if by_month:
+            lines = lines.filter(F.col(MONTH_PARTITION) <= str(end_date)[:7])
     if countries:
         lines = lines.filter(F.col("recipient_country").isin(*countries))
     if services:

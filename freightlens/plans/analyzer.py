@@ -252,5 +252,10 @@ class BillingAnalyzer:
 
     def write_report(self, path: str, run_id: str, fmt: str = "parquet") -> list[str]:
         """Write the report's tables under one run id, with one package rollup for all."""
-        with self:
+        kept_before = self._kept is not None
+        self.keep_packages()
+        try:
             return write_tables(self.report_tables(), path, run_id, fmt)
+        finally:
+            if not kept_before:
+                self.release()

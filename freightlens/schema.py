@@ -218,6 +218,9 @@ LINES_SCHEMA = T.StructType(
     + [T.StructField(n, t) for n, t in DERIVED_FIELDS.items()]
 )
 
+# Partition column of a landed table: a copy of ``shipment_year_month``.
+MONTH_PARTITION = "month"
+
 # Attributes a package takes from its freight rows, besides charge_description.
 PACKAGE_ATTRIBUTES = (
     "invoice_number",

@@ -2,8 +2,8 @@
 
 Every lineitem is a parcel row, every charge that applies to it becomes one
 billing line. One shuffle join (lineitem with orders) and dimension joins; the
-charges come from an array that is exploded in place, so no row is shuffled for
-them.
+charges come from a literal array that is exploded in place and filtered, so no
+row is shuffled for them.
 """
 
 from __future__ import annotations
@@ -67,22 +67,20 @@ def _shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _charges() -> Column:
-    """The charge kinds of a shipment, in charge order."""
-    when = F.when
-    imported = F.col("trade") == "IMP"
-    late = F.col("l_linenumber") == 5
-    return F.array_compact(
-        F.array(
-            F.lit("FRT"),
-            F.lit("FSC"),
-            when(_money("l_tax", 4, 2) > 0, "TAX"),
-            when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH", "5-LOW"), "ACC"),
-            when(imported, "BRK"),
-            when(imported, "GOV"),
-            when(F.col("l_linenumber") == 7, "MSC"),
-            when(late & (F.col("l_returnflag") == "N"), "ZZZ"),
-        )
+# The charge kinds in the order of a shipment's lines.
+KINDS = ("FRT", "FSC", "TAX", "ACC", "BRK", "GOV", "MSC", "ZZZ")
+
+
+def _applies() -> Column:
+    """The shipment has a charge of this ``kind``."""
+    kind, late = F.col("kind"), F.col("l_linenumber") == 5
+    return (
+        kind.isin("FRT", "FSC")
+        | ((kind == "TAX") & (_money("l_tax", 4, 2) > 0))
+        | ((kind == "ACC") & F.col("o_orderpriority").isin("1-URGENT", "2-HIGH", "5-LOW"))
+        | (kind.isin("BRK", "GOV") & (F.col("trade") == "IMP"))
+        | ((kind == "MSC") & (F.col("l_linenumber") == 7))
+        | ((kind == "ZZZ") & late & (F.col("l_returnflag") == "N"))
     )
 
 
@@ -221,7 +219,8 @@ def billing_fields(
     lines = (
         _shipments(spark, sf_dir)
         .withColumn("trade", _trade())
-        .select("*", F.posexplode(_charges()).alias("kn", "kind"))
+        .select("*", F.posexplode(F.array(*map(F.lit, KINDS))).alias("kn", "kind"))
+        .filter(_applies())
         .select(
             *[c.alias(name) for name, c in made.items()],
             F.struct(*_ROW_ORDER, "kn").alias("line_ord"),

@@ -71,6 +71,14 @@ def test_scans_read_only_what_is_needed(analyzer):
     assert "EqualTo(shipment_subtype,IMP)" in duties
 
 
+def test_dates_prune_the_months_of_a_landed_table(analyzer):
+    one_month = analyzer.filter_data(start_date="1997-03-05", end_date="1997-03-20")
+    text = plan(one_month.analyze_cost_breakdown())
+    assert re.search(r"PartitionFilters: \[[^]]*month#\d+ >= 1997-03", text)
+    days = one_month.date_bounds().first()
+    assert "1997-03-05" <= str(days.min_date) <= str(days.max_date) <= "1997-03-20"
+
+
 def test_top_expenses_is_a_top_k(analyzer):
     assert "TakeOrderedAndProject" in plan(analyzer.get_top_expenses(20))
 
