@@ -131,6 +131,18 @@ def test_line_breaks_in_fields(spark, tmp_path):
     assert rows(uploaded, "source_file", "recipient_city") == [("up.csv", c) for c in want]
 
 
+@pytest.mark.parametrize("multiline", [True, False])
+def test_named_charset_and_width_need_no_facts(spark, folder, multiline):
+    def city(charset):
+        options = CsvOptions(charset=charset, width=300, scan_width=176, multiline=multiline)
+        lines = read_files(spark, [str(folder / "latin1_full.csv")], options)
+        assert "InMemoryTableScan" not in plan(lines)
+        return rows(lines.orderBy("line_ord"), "recipient_city")[0][0]
+
+    assert city("ISO-8859-1") == "München"
+    assert city("UTF-8") == "M\ufffdnchen"
+
+
 def test_manifest(spark, folder):
     got = manifest(spark, str(folder)).orderBy("source_file")
     assert rows(got, "source_file", "rows", "dropped_rows", "bad_amounts", "charset", "status") == [
