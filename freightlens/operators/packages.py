@@ -1,7 +1,7 @@
 """Package rollup: one row per tracking number.
 
 The shipment attributes come from the freight package rows only, about one line
-in five, and the charges from all lines. So the wide, string-carrying aggregation
+in four, and the charges from all lines. So the wide, string-carrying aggregation
 sees only the rows it needs, the charges go through a code-generated hash
 aggregation, and the two meet on the tracking number by which both are already
 partitioned. Columns that a later operator does not read drop out of both.
