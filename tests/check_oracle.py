@@ -12,13 +12,14 @@ import duckdb
 ROOT = Path(__file__).resolve().parents[1]
 sys.path.insert(0, str(ROOT))
 
-TABLES = "region nation customer supplier part orders lineitem".split()
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
 def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
     for name in TABLES:
-        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf_dir}/{name}.parquet'")
+        path = Path(sf_dir, f"{name}.parquet")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{path}{'/*.parquet' if path.is_dir() else ''}'")
     return con
 
 
@@ -63,11 +64,11 @@ def main() -> int:
     spark.sparkContext.setLogLevel("ERROR")
     sf_dir, names = sys.argv[1], sys.argv[2:]
     con, found, sqls = connect(sf_dir), entry.queries(), entry.oracle_sql()
-    failed = sorted(set(found) ^ set(sqls))
-    for name in failed:
+    failed = sorted(set(sqls) - set(found))
+    for name in sorted(set(found) ^ set(sqls)):
         print(f"UNPAIRED {name}")
     for name, query in found.items():
-        if names and name not in names:
+        if name not in sqls or names and name not in names:
             continue
         start = time.time()
         try:
