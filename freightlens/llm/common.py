@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from freightlens.session import shared_folder
 
 #: Characters of text handled at a time inside a task; one longer text is a slice of its own.
-SLICE_CHARS = 1 << 20
+SLICE_CHARS = 1 << 21
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,7 +82,13 @@ def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def strings(offsets: np.ndarray, data: np.ndarray) -> pa.Array:
-    """A string array over ``data`` cut at ``offsets`` (which may leave gaps out only at the ends)."""
-    return pa.LargeBinaryArray.from_buffers(
-        pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets, np.int64)), pa.py_buffer(np.ascontiguousarray(data))]
-    )
+    """A binary array over ``data`` cut at ``offsets``."""
+    buffers = [None, pa.py_buffer(np.ascontiguousarray(offsets, np.int64)), pa.py_buffer(np.ascontiguousarray(data))]
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, buffers)
+
+
+def taken(offsets: np.ndarray, data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, data) of the given rows of a ragged array, one behind the other."""
+    lengths = (offsets[1:] - offsets[:-1])[rows]
+    out = np.concatenate([[0], np.cumsum(lengths)])
+    return out, data[np.arange(out[-1]) + np.repeat(offsets[rows] - out[:-1], lengths)]

@@ -4,24 +4,39 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from freightlens.llm.bpe_codec import decode, encode, with_digests
 from freightlens.llm.common import table
 from freightlens.llm.exact_dedup import exact_duplicates
+from freightlens.llm.token_counts import count_tokens
 from freightlens.llm.url_filter import judge_urls
 
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"), VOCABULARY)
+
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_digests(decode(encode(table(spark, sf_dir, "documents"), VOCABULARY), VOCABULARY))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages")).drop("component")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (
+        op2_token_counts,
         op3_exact_dedup,
+        op6_bpe_codec,
         op10_url_filter,
     )
     return {f.__name__: f for f in named}
