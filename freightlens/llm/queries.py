@@ -10,12 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 from freightlens.llm.bpe_codec import decode, encode, with_digests
 from freightlens.llm.common import table
 from freightlens.llm.exact_dedup import exact_duplicates
+from freightlens.llm.jaccard_join import jaccard_links
 from freightlens.llm.token_counts import count_tokens
 from freightlens.llm.url_filter import judge_urls
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_links(table(spark, sf_dir, "documents"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), VOCABULARY)
 
@@ -34,6 +39,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (
+        op1_jaccard_join,
         op2_token_counts,
         op3_exact_dedup,
         op6_bpe_codec,
