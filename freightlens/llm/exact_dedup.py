@@ -46,19 +46,19 @@ def filter_size(rows: int) -> int:
     return min(MOST_CELLS, 1 << max(10, (CELLS_FOR_TEXT * rows - 1).bit_length()))
 
 
-def repeated_cells(keys: DataFrame, cells: int) -> DataFrame:
-    """Pass 1: the filter as rows ``__word`` (64 cells) and ``__bits``, hit twice or more.
+def hit_cells(keys: DataFrame, cells: int, times: int) -> DataFrame:
+    """Pass 1: the filter as rows ``__word`` (64 cells) and ``__bits``, of cells hit so often or more.
 
     ``keys`` has one column ``__key`` of 64-bit hashes.
     """
     hit = keys.select(F.explode(F.array(*_cells(F.col("__key"), cells))).alias("__cell"))
-    twice = hit.groupBy("__cell").agg(F.count("*").alias("__n")).filter("__n > 1")
+    twice = hit.groupBy("__cell").agg(F.count("*").alias("__n")).filter(F.col("__n") >= times)
     bit = F.expr("shiftleft(1L, cast(__cell % 64 as int))")
     return twice.groupBy(F.expr("__cell div 64").alias("__word")).agg(F.bit_or(bit).alias("__bits"))
 
 
-def with_repeat_flag(rows: DataFrame, words: DataFrame, cells: int) -> DataFrame:
-    """Pass 2: ``rows`` (with ``__key``) and ``__maybe``, true if the text may repeat."""
+def with_flag(rows: DataFrame, words: DataFrame, cells: int) -> DataFrame:
+    """Pass 2: ``rows`` (with ``__key``) and ``__maybe``, true if the filter has all cells of the key."""
     out, tests = rows, []
     for i, cell in enumerate(_cells(F.col("__key"), cells)):
         side = words.select(F.col("__word").alias(f"__w{i}"), F.col("__bits").alias(f"__b{i}"))
@@ -75,7 +75,7 @@ def _with_key(docs: DataFrame, text: str) -> DataFrame:
 
 def _filter_of(docs: DataFrame, text: str) -> tuple[DataFrame, int]:
     cells = filter_size(docs.count())
-    return written(repeated_cells(_with_key(docs.select(f"`{text}`"), text).select("__key"), cells)), cells
+    return written(hit_cells(_with_key(docs.select(f"`{text}`"), text).select("__key"), cells, 2)), cells
 
 
 def _judged(flagged: DataFrame) -> DataFrame:
@@ -95,7 +95,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     words, cells = _filter_of(docs, text_col)
     rows = _with_key(docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__text")), "__text")
     rows = rows.select("__id", "__key", F.sha2("__norm", 256).alias("__sha"))
-    flagged = written(with_repeat_flag(rows, words, cells).select("__id", "__sha", "__maybe"))
+    flagged = written(with_flag(rows, words, cells).select("__id", "__sha", "__maybe"))
     return _judged(flagged).select(
         F.col("__id").alias("doc_id"),
         F.col("__keep").alias("keep_id"),
@@ -108,7 +108,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
     words, cells = _filter_of(docs, text_col)
-    flagged = with_repeat_flag(_with_key(docs, text_col), words, cells)
+    flagged = with_flag(_with_key(docs, text_col), words, cells)
     rest = flagged.filter("not __maybe").select(*[f"`{c}`" for c in docs.columns])
     maybe = flagged.filter("__maybe").withColumn("__sha", F.sha2("__norm", 256))
     keep = maybe.groupBy("__sha").agg(F.min(f"`{id_col}`").alias("__keep"))

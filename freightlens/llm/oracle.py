@@ -15,6 +15,25 @@ SELECT doc_id,
 FROM d WINDOW w AS (PARTITION BY text_sha256)
 """
 
+# All alignments of documents and items that have 11 words in common, then every window of 13.
+OP9 = r"""
+WITH
+dw AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS at FROM (
+  SELECT doc_id, list_filter(string_split_regex(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents)),
+iw AS (SELECT item_id, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS at FROM (
+  SELECT item_id, list_filter(string_split_regex(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM benchmark)),
+size AS (SELECT doc_id, count(*) AS dn FROM dw GROUP BY 1),
+aligned AS (
+  SELECT d.doc_id, i.item_id, d.at - i.at AS shift, any_value(i.n) AS n, list(i.at) AS ats
+  FROM dw d JOIN iw i ON d.word = i.word GROUP BY 1, 2, 3 HAVING count(*) >= 11),
+begun AS (
+  SELECT doc_id, item_id, shift, ats, unnest(generate_series(greatest(0, -shift), least(n, dn - shift) - 13)) AS s
+  FROM aligned JOIN size USING (doc_id)),
+windows AS (SELECT *, len(list_filter(ats, lambda x: x >= s AND x < s + 13)) AS agree FROM begun)
+SELECT doc_id, item_id, shift, min(s) + shift AS doc_from, max(s) + shift + 13 AS doc_to, min(s) AS item_from, max(agree) AS agree
+FROM windows WHERE agree >= 11 GROUP BY 1, 2, 3
+"""
+
 # Links are read, resolved and followed as redirects; equal urls are one node.
 OP10 = r"""
 WITH RECURSIVE
@@ -73,5 +92,6 @@ FROM n LEFT JOIN fits f ON f.h = n.host AND f.t = n.path LEFT JOIN said s ON s.n
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_exact_dedup": OP3,
+        "op9_decontamination": OP9,
         "op10_url_filter": OP10,
     }

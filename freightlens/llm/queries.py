@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from freightlens.llm.bpe_codec import decode, encode, with_digests
 from freightlens.llm.common import table
+from freightlens.llm.decontaminate import overlaps
 from freightlens.llm.exact_dedup import exact_duplicates
 from freightlens.llm.jaccard_join import jaccard_links
 from freightlens.llm.token_counts import count_tokens
@@ -33,6 +34,10 @@ def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_digests(decode(encode(table(spark, sf_dir, "documents"), VOCABULARY), VOCABULARY))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages")).drop("component")
 
@@ -43,6 +48,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op2_token_counts,
         op3_exact_dedup,
         op6_bpe_codec,
+        op9_decontamination,
         op10_url_filter,
     )
     return {f.__name__: f for f in named}
