@@ -12,6 +12,8 @@ from freightlens.llm.common import table
 from freightlens.llm.decontaminate import overlaps
 from freightlens.llm.exact_dedup import exact_duplicates
 from freightlens.llm.jaccard_join import jaccard_links
+from freightlens.llm.language_id import identify
+from freightlens.llm.quality import score_quality
 from freightlens.llm.token_counts import count_tokens
 from freightlens.llm.url_filter import judge_urls
 
@@ -30,10 +32,18 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_digests(decode(encode(table(spark, sf_dir, "documents"), VOCABULARY), VOCABULARY))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -47,7 +57,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op1_jaccard_join,
         op2_token_counts,
         op3_exact_dedup,
+        op4_language_id,
         op6_bpe_codec,
+        op7_quality,
         op9_decontamination,
         op10_url_filter,
     )
