@@ -1,6 +1,13 @@
 """Training-corpus pipeline over ``documents``: each stage's rows are written and read by the next.
 
-The stages, in order, and what they do to the rows they get.
+1. ``language_id`` drops documents without a letter, and those whose language is so
+   unsure that the score is below ``LEAST_SCORE``.
+2. ``exact_dedup`` keeps the smallest doc_id of equal texts.
+3. ``jaccard_join`` keeps the smallest doc_id of each class of near duplicates.
+4. ``decontamination`` drops documents that overlap with a benchmark item.
+5. ``bpe_codec`` encodes what is left, decodes it, and returns the digests of both.
+
+All stages but the last return the columns of documents.
 """
 
 from __future__ import annotations
@@ -9,22 +16,48 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from freightlens.llm.bpe_codec import decode, encode, with_digests
 from freightlens.llm.common import table, written
+from freightlens.llm.decontaminate import drop_contaminated
 from freightlens.llm.exact_dedup import drop_exact_duplicates
+from freightlens.llm.jaccard_join import drop_near_duplicates
+from freightlens.llm.language_id import keep_identified
+from freightlens.llm.queries import VOCABULARY
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-#: SQL cannot express the language model; tests hold the stages against brute force.
+#: SQL cannot express the language model and BPE; tests hold each stage against brute force.
 ORACLE_SQL: str | None = None
+#: A text of one known language scores over 0.9 mostly, a mixed one over 0.28.
+LEAST_SCORE = 0.2
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return keep_identified(docs, LEAST_SCORE)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the row with the smallest doc_id."""
     return drop_exact_duplicates(docs)
 
 
+def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return drop_near_duplicates(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def bpe_codec(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return with_digests(decode(encode(docs, VOCABULARY), VOCABULARY))
+
+
 STAGES: list[tuple[str, Stage]] = [
+    ("language_id", language_id),
     ("exact_dedup", exact_dedup),
+    ("jaccard_join", jaccard_join),
+    ("decontamination", decontamination),
+    ("bpe_codec", bpe_codec),
 ]
 
 

@@ -70,10 +70,10 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa
 
 def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(offsets, bytes) of a string array, nulls as empty; offsets start at 0."""
-    texts = pc.fill_null(texts, "")
+    texts = pc.fill_null(texts, b"" if pa.types.is_large_binary(texts.type) else "")
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    wide = pa.types.is_large_string(texts.type)
+    wide = pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type)
     _, offsets, data = texts.buffers()
     off = np.frombuffer(offsets, dtype=np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1]
     off = off.astype(np.int64)

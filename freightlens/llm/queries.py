@@ -13,6 +13,8 @@ from freightlens.llm.decontaminate import overlaps
 from freightlens.llm.exact_dedup import exact_duplicates
 from freightlens.llm.jaccard_join import jaccard_links
 from freightlens.llm.language_id import identify
+from freightlens.llm.license_scan import scan_licenses
+from freightlens.llm.lm_score import score_texts
 from freightlens.llm.quality import score_quality
 from freightlens.llm.token_counts import count_tokens
 from freightlens.llm.url_filter import judge_urls
@@ -36,6 +38,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"), VOCABULARY)
+
+
 def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_digests(decode(encode(table(spark, sf_dir, "documents"), VOCABULARY), VOCABULARY))
 
@@ -44,6 +50,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -58,8 +68,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op2_token_counts,
         op3_exact_dedup,
         op4_language_id,
+        op5_lm_score,
         op6_bpe_codec,
         op7_quality,
+        op8_license_scan,
         op9_decontamination,
         op10_url_filter,
     )
