@@ -558,7 +558,7 @@ def sources() -> dict[str, str]:
                    CASE status WHEN 'loaded' THEN bad ELSE 0 END AS bad_amounts,
                    CASE status WHEN 'loaded' THEN 'utf-8' END AS charset
             FROM (SELECT count(*) AS n, count(*) FILTER (WHERE o_orderkey % 10 = 0) AS bad
-                  FROM orders) CROSS JOIN (VALUES ('loaded'), ('skipped')) AS v(status)""",
+                  FROM orders) CROSS JOIN (VALUES ('loaded'), ('empty'), ('failed'), ('missing')) AS v(status)""",
     }
 
 
@@ -958,7 +958,8 @@ def displays() -> dict[str, str]:
             f"""SELECT tracking_number AS "Tracking #", order_reference AS "Reference",
                 strftime(shipment_date, '%Y-%m-%d') AS "Date", recipient_name AS "Recipient",
                 recipient_city AS "City", recipient_country AS "Country", service_name AS "Service",
-                {ptenths('billed_weight')} AS "Weight (kg)", {money('total_charge')} AS "Cost (EUR)",
+                {ptenths('billed_weight')} AS "Weight (kg)", {money('total_charge')} AS "Cost",
+                (SELECT coalesce(arg_min(currency, ord), 'EUR') FROM L) AS "Currency",
                 is_return AS "Return?" FROM top""",
         ),
         "metrics_returns": packages_with(

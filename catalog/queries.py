@@ -199,12 +199,30 @@ def union_files(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _cut_off(spark: SparkSession, sf: str, folder: str) -> str:
+    """A compressed file of orders without its second half; returns its path."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = lambda name: jvm.org.apache.hadoop.fs.Path(name)
+    orders = sample.table(spark, sf, "orders").select(F.col("o_orderkey").cast("string"))
+    orders.coalesce(1).write.option("compression", "gzip").csv(f"{folder}/whole")
+    files = at(folder).getFileSystem(conf)
+    (part,) = [f.getPath() for f in files.listStatus(at(f"{folder}/whole")) if f.getPath().getName().endswith(".gz")]
+    opened = files.open(part)
+    half = opened.readNBytes(files.getFileStatus(part).getLen() // 2)
+    opened.close()
+    out = files.create(at(f"{folder}/cut-off.csv.gz"))
+    out.write(bytearray(half))
+    out.close()
+    return f"{folder}/cut-off.csv.gz"
+
+
 def isolate_bad_files(spark: SparkSession, sf: str) -> DataFrame:
-    """The order files with an empty one among them, by load status."""
+    """The order files with an empty one, a damaged one and a missing path among them, by status."""
     (folder,) = _write_order_files(tune(spark), sf)
     spark.createDataFrame([], "c0 string").coalesce(1).write.mode("append").csv(folder)
+    paths = [folder, _cut_off(spark, sf, f"{folder}-damaged"), f"{folder}-missing"]
     return (
-        csv.manifest(spark, folder)
+        csv.manifest(spark, paths, csv.CsvOptions(on_bad_file="skip"))
         .groupBy("status")
         .agg(
             F.sum("rows").alias("rows"),
@@ -542,7 +560,7 @@ def queries() -> dict[str, Query]:
         "display_accessorials": on_lines(
             lambda x: display.accessorial_table(acc.accessorials_by_code(x))
         ),
-        "display_top_expenses": on_lines(lambda x: display.top_expense_table(top_expenses(x))),
+        "display_top_expenses": on_lines(lambda x: display.top_expense_table(top_expenses(x), figures.currency(x))),
         "metrics_returns": on_packages(lambda p: display.returns_metrics(ret.returns_summary(p))),
         "metrics_weights": on_packages(
             lambda p: display.weights_metrics(weights.weights_summary(p))

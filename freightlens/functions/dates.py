@@ -15,6 +15,11 @@ def parse_date(c: Column, formats: Sequence[str] = ISO_DATE) -> Column:
     return F.coalesce(*[F.try_to_date(c, f) for f in formats])
 
 
+def is_bad_date(c: Column, formats: Sequence[str] = ISO_DATE) -> Column:
+    """A text is there but fits none of the formats."""
+    return c.isNotNull() & parse_date(c, formats).isNull()
+
+
 def month_label(d: Column) -> Column:
     return F.date_format(d, "yyyy-MM")
 

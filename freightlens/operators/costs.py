@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from freightlens.functions.numeric import percent, round2, total
@@ -30,12 +30,13 @@ def category_totals(lines: DataFrame) -> DataFrame:
 def with_share(df: DataFrame, value: str, share: str = "percentage") -> DataFrame:
     """Add the share of ``value`` in its grand total, in percent to two decimals.
 
-    For grouped results only: the window brings their few rows together, which
-    saves a second pass over the lines for the total.
+    The total is an aggregate of one row, joined back. It reads the same grouped
+    rows, whose shuffle Spark reuses, so the lines are not read again.
     """
-    exact = F.sum(F.col(value).cast("decimal(38,4)"))
-    whole = exact.over(Window.partitionBy()).cast("double")
-    return df.withColumn(share, round2(percent(F.col(value), whole)))
+    exact = F.sum(F.col(value).cast("decimal(38,4)")).cast("double")
+    whole = df.agg(exact.alias("_whole"))
+    shared = df.crossJoin(whole).withColumn(share, round2(percent(F.col(value), F.col("_whole"))))
+    return shared.drop("_whole")
 
 
 def cost_breakdown(lines: DataFrame) -> DataFrame:

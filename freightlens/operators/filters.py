@@ -8,6 +8,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from freightlens.functions.dates import month_label
 from freightlens.functions.ordering import first_non_null
 from freightlens.schema import MONTH_PARTITION
 
@@ -26,17 +27,20 @@ def filter_lines(
 
     Packages are to be rolled up from what is left, so a charge line that does
     not carry the country or service itself falls out of its package's total. On
-    a landed table, dates also name the months to read.
+    a landed table, dates also name the months to read: those of the parsed dates,
+    which Spark folds to constants before it lists the partitions.
     """
     by_month = MONTH_PARTITION in lines.columns
     if start_date:
-        lines = lines.filter(F.col("shipment_date") >= F.lit(str(start_date)).cast("date"))
+        first = F.lit(str(start_date)).cast("date")
+        lines = lines.filter(F.col("shipment_date") >= first)
         if by_month:
-            lines = lines.filter(F.col(MONTH_PARTITION) >= str(start_date)[:7])
+            lines = lines.filter(F.col(MONTH_PARTITION) >= month_label(first))
     if end_date:
-        lines = lines.filter(F.col("shipment_date") <= F.lit(str(end_date)).cast("date"))
+        last = F.lit(str(end_date)).cast("date")
+        lines = lines.filter(F.col("shipment_date") <= last)
         if by_month:
-            lines = lines.filter(F.col(MONTH_PARTITION) <= str(end_date)[:7])
+            lines = lines.filter(F.col(MONTH_PARTITION) <= month_label(last))
     if countries:
         lines = lines.filter(F.col("recipient_country").isin(*countries))
     if services:

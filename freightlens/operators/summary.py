@@ -12,16 +12,23 @@ from freightlens.schema import DEFAULT_CURRENCY
 
 
 def line_totals(lines: DataFrame) -> DataFrame:
-    """Invoices, category totals and date range over all lines."""
+    """Invoices, category totals and date range over all lines.
+
+    Lines are summed by invoice first, those without one in a group of their own, so
+    that counting invoices needs no second copy of each line.
+    """
     category = F.col("charge_category")
-    return lines.agg(
-        F.count_distinct("invoice_number").alias("total_invoices"),
-        total("total_charge", category == "FRT").alias("total_freight"),
-        total("total_charge", category == "FSC").alias("total_fuel_surcharge"),
-        total("total_charge", category == "TAX").alias("total_tax"),
-        total("total_charge", category == "ACC").alias("total_accessorial"),
-        day_text(F.min("shipment_date")).alias("date_from"),
-        day_text(F.max("shipment_date")).alias("date_to"),
+    sums = {"freight": "FRT", "fuel_surcharge": "FSC", "tax": "TAX", "accessorial": "ACC"}
+    by_invoice = lines.groupBy("invoice_number").agg(
+        *[F.sum(F.when(category == code, F.col("total_charge"))).alias(n) for n, code in sums.items()],
+        F.min("shipment_date").alias("first_date"),
+        F.max("shipment_date").alias("last_date"),
+    )
+    return by_invoice.agg(
+        F.count("invoice_number").alias("total_invoices"),
+        *[total(n).alias(f"total_{n}") for n in sums],
+        day_text(F.min("first_date")).alias("date_from"),
+        day_text(F.max("last_date")).alias("date_to"),
     )
 
 

@@ -233,7 +233,7 @@ class BillingAnalyzer:
             "duties": display.duties_table(duty.detail),
             "accessorials_metrics": display.accessorials_metrics(extra.summary, unit),
             "accessorial": display.accessorial_table(extra.by_charge_code),
-            "top_expense": display.top_expense_table(self.get_top_expenses(top_n)),
+            "top_expense": display.top_expense_table(self.get_top_expenses(top_n), unit),
         }
 
     def report_tables(self) -> dict[str, DataFrame]:

@@ -134,9 +134,10 @@ def accessorial_table(by_code: DataFrame) -> DataFrame:
     )
 
 
-def top_expense_table(top: DataFrame, currency: str = "EUR") -> DataFrame:
+def top_expense_table(top: DataFrame, currency: DataFrame) -> DataFrame:
+    """``currency`` is its table of one row; a heading cannot depend on the data without a job."""
     return show(
-        top,
+        top.crossJoin(currency),
         {
             "Tracking #": ("tracking_number", as_is),
             "Reference": ("order_reference", as_is),
@@ -146,7 +147,8 @@ def top_expense_table(top: DataFrame, currency: str = "EUR") -> DataFrame:
             "Country": ("recipient_country", as_is),
             "Service": ("service_name", as_is),
             "Weight (kg)": ("billed_weight", plain_tenths),
-            f"Cost ({currency})": ("total_charge", money),
+            "Cost": ("total_charge", money),
+            "Currency": ("currency", as_is),
             "Return?": ("is_return", as_is),
         },
     )

@@ -179,7 +179,7 @@ DEFAULT_CURRENCY = "EUR"
 
 # Amounts and weights are parsed and summed exactly, so a total does not depend
 # on how the rows were partitioned; results are given as doubles.
-AMOUNT = T.DecimalType(18, 4)
+AMOUNT = T.DecimalType(28, 4)
 
 LINE_ORD = T.StructType(
     [
@@ -205,7 +205,7 @@ DERIVED_FIELDS = {
     "charge_category_name": T.StringType(),
     "is_package_line": T.BooleanType(),
     "is_return": T.BooleanType(),
-    "weight_difference": T.DecimalType(19, 4),
+    "weight_difference": T.DecimalType(29, 4),
     "shipment_week": T.IntegerType(),
     "shipment_month": T.StringType(),
     "shipment_year_month": T.StringType(),
@@ -221,7 +221,7 @@ LINES_SCHEMA = T.StructType(
 # Partition column of a landed table: a copy of ``shipment_year_month``.
 MONTH_PARTITION = "month"
 
-# Attributes a package takes from its freight rows, besides charge_description.
+# Attributes a package takes from its freight rows, besides charge_description. Fixed values.
 PACKAGE_ATTRIBUTES = (
     "invoice_number",
     "invoice_date",

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # A row of 58 columns makes generated methods that HotSpot refuses to compile
 # (over 8,000 bytes of bytecode) and then interprets. With this limit Spark takes
@@ -22,14 +22,17 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def landed(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back: computed once, and not again for a lost executor."""
+    path = f"{shared_folder(df.sparkSession)}/landed-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors reach: the cluster's ``spark.checkpoint.dir``.
 
-    Where that is not set, a temporary folder does in local mode only.
+    Where that is not set, a folder in the session's warehouse, which is shared too.
     """
     folder = spark.conf.get("spark.checkpoint.dir", "")
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
-    return tempfile.mkdtemp(prefix="freightlens-")
+    return folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/freightlens"

@@ -1,10 +1,14 @@
+import gzip
 import re
-from datetime import date
+from dataclasses import replace
+from datetime import date, datetime
 
 import pytest
+from pyspark.errors import AnalysisException
 
 from freightlens import CsvOptions, manifest, read_content, read_files, read_folder
 from freightlens.functions.text import field_count
+from freightlens.operators.filters import filter_lines
 from freightlens.schema import DOCUMENTED_SERVICE_NAMES, LINES_SCHEMA
 from freightlens.sources.sinks import land_lines, write_tables
 from tests.helpers import csv_row, plan, rows
@@ -22,6 +26,9 @@ BASE = {
 }
 
 
+SKIP = CsvOptions(on_bad_file="skip")
+
+
 @pytest.fixture(scope="module")
 def folder(tmp_path_factory):
     d = tmp_path_factory.mktemp("invoices")
@@ -68,7 +75,7 @@ def test_folder(spark, folder, multiline):
 @pytest.mark.parametrize("multiline", ["auto", True, False])
 def test_list_of_files_keeps_its_order(spark, folder, multiline):
     paths = [str(folder / n) for n in ("ragged.csv", "missing.csv", "dirty.csv", "utf8 full+.csv")]
-    lines = read_files(spark, paths, CsvOptions(multiline=multiline))
+    lines = read_files(spark, paths, CsvOptions(multiline=multiline, on_bad_file="skip"))
     got = [r[0] for r in rows(lines.orderBy("line_ord"), "source_file")]
     assert got == ["ragged.csv"] * 2 + ["dirty.csv"] + ["utf8 full+.csv"] * 2
 
@@ -76,13 +83,75 @@ def test_list_of_files_keeps_its_order(spark, folder, multiline):
 def test_nothing_to_read(spark, tmp_path):
     for lines in (
         read_folder(spark, str(tmp_path)),
-        read_folder(spark, str(tmp_path / "none")),
-        read_files(spark, [str(tmp_path / "none.csv")]),
+        read_folder(spark, str(tmp_path / "none"), SKIP),
+        read_files(spark, [str(tmp_path / "none.csv")], SKIP),
     ):
         assert lines.schema.fieldNames() == LINES_SCHEMA.fieldNames()
         assert lines.count() == 0
 
 
+def test_a_missing_path_fails_unless_it_is_to_be_skipped(spark, folder):
+    paths = [str(folder / "missing.csv"), str(folder / "dirty.csv")]
+    with pytest.raises(AnalysisException):
+        read_files(spark, paths)
+    with pytest.raises(AnalysisException):
+        read_folder(spark, str(folder / "none"))
+    got = manifest(spark, paths, SKIP).orderBy("source_file")
+    assert rows(got, "source_file", "rows", "bad_amounts", "bad_dates", "status") == [
+        ("dirty.csv", 1, 1, 1, "loaded"),
+        ("missing.csv", 0, 0, 0, "missing"),
+    ]
+
+
+def test_a_damaged_file_is_left_out_whole(spark, tmp_path):
+    whole = gzip.compress("".join(csv_row(**BASE) + "\n" for _ in range(4000)).encode(), mtime=0)
+    (tmp_path / "cut off.csv.gz").write_bytes(whole[: len(whole) // 2])
+    (tmp_path / "also.csv.gz").write_bytes(whole[:-40])
+    (tmp_path / "good.csv.gz").write_bytes(whole)
+    paths = [str(tmp_path / n) for n in ("cut off.csv.gz", "good.csv.gz", "also.csv.gz")]
+    with pytest.raises(Exception, match="FAILED_READ_FILE"):
+        read_files(spark, paths).count()
+    stated = CsvOptions(charset="UTF-8", width=300, scan_width=176, multiline=False)
+    with pytest.raises(Exception, match="FAILED_READ_FILE"):
+        read_files(spark, paths, stated).count()
+    for options in (SKIP, replace(stated, on_bad_file="skip")):
+        assert read_files(spark, paths, options).count() == 4000
+    got = manifest(spark, paths, SKIP).orderBy("source_file").collect()
+    assert [(r.source_file, r.rows, r.status, r.reason is None) for r in got] == [
+        ("also.csv.gz", 0, "failed", False),
+        ("cut off.csv.gz", 0, "failed", False),
+        ("good.csv.gz", 4000, "loaded", True),
+    ]
+
+
+def test_a_file_removed_after_listing_fails(spark, tmp_path):
+    for name in ("a.csv", "b.csv"):
+        (tmp_path / name).write_text(csv_row(**BASE) + "\n")
+    lines = read_folder(spark, str(tmp_path))
+    (tmp_path / "b.csv").unlink()
+    with pytest.raises(Exception, match="FILE_NOT_EXIST"):
+        lines.count()
+
+
+def test_nothing_stays_persisted(spark, folder):
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    read_folder(spark, str(folder)).count()
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
+
+
+def test_amounts_beyond_18_digits(spark, tmp_path):
+    amounts = ("123456789012345.67", "100000000000000", "1.00005", "1e30", "x")
+    (tmp_path / "a.csv").write_text("".join(csv_row(**{**BASE, "net_amount": a}) + "\n" for a in amounts))
+    lines = read_folder(spark, str(tmp_path)).orderBy("line_ord")
+    assert [str(r[0]) for r in rows(lines, "net_amount")] == ["123456789012345.6700", "100000000000000.0000", "1.0001", "0.0000", "0.0000"]
+    assert rows(manifest(spark, str(tmp_path)), "bad_amounts", "too_large", "rounded") == [(1, 1, 1)]
+
+
+def test_a_scan_that_leaves_out_mapped_fields_is_refused(spark, folder):
+    with pytest.raises(ValueError):
+        read_folder(spark, str(folder), CsvOptions(scan_width=100))
+
+
 def test_first_row_sets_the_width(spark, tmp_path):
     (tmp_path / "a.csv").write_text("a,b\nc,d,e\nf\n")
     for multiline in ("auto", True, False):
@@ -147,7 +216,7 @@ def test_manifest(spark, folder):
     got = manifest(spark, str(folder)).orderBy("source_file")
     assert rows(got, "source_file", "rows", "dropped_rows", "bad_amounts", "charset", "status") == [
         ("dirty.csv", 1, 0, 1, "utf-8", "loaded"),
-        ("empty.csv", 0, 0, 0, None, "skipped"),
+        ("empty.csv", 0, 0, 0, None, "empty"),
         ("latin1_full.csv", 2, 0, 0, "latin-1", "loaded"),
         ("narrow.csv", 1, 0, 0, "latin-1", "loaded"),
         ("ragged.csv", 2, 1, 0, "utf-8", "loaded"),
@@ -212,3 +281,21 @@ def test_landed_lines_and_tables(spark, folder, tmp_path):
     }
     paths = write_tables({"a": lines.select("version")}, str(tmp_path), "run1", "csv")
     assert spark.read.csv(paths[0], header=True).count() == lines.count()
+
+
+@pytest.mark.parametrize("start, end", [("1997-3-5", None), ("1997-03-05", "1997-12-24"), (date(1997, 3, 5), datetime(1997, 12, 24, 10)), (None, "1997"), (None, " 1997-5-1")])
+def test_date_filters_agree_on_a_landed_table(spark, tmp_path, start, end):
+    days = ["1996-12-31", "1997-01-01", "1997-03-04", "1997-03-05", "1997-12-24", "1998-01-01", ""]
+    (tmp_path / "a.csv").write_text("".join(csv_row(**{**BASE, "shipment_date": d}) + "\n" for d in days))
+    lines = read_folder(spark, str(tmp_path))
+    landed = filter_lines(land_lines(lines, str(tmp_path / "landed")), start, end)
+    want = sorted(rows(filter_lines(lines, start, end), "shipment_date"))
+    assert sorted(rows(landed, "shipment_date")) == want and 0 < len(want) < 6
+    assert re.search(r"PartitionFilters: \[[^\]]*month#\d+ [<>]= \d{4}-\d\d\b", plan(landed))
+
+
+def test_a_file_is_appended_once(spark, folder, tmp_path):
+    path, lines = str(tmp_path / "landed"), read_folder(spark, str(folder))
+    first = land_lines(lines.filter("source_file <> 'dirty.csv'"), path, mode="append").count()
+    assert land_lines(lines, path, mode="append").count() == first + 1
+    assert land_lines(lines, path, mode="append").count() == first + 1
