@@ -839,19 +839,6 @@ def chart_data() -> dict[str, str]:
             SERVICE, "SELECT service_name, total_cost, avg_cost_per_package FROM service"
         ),
         "weight_bars": packages_with(WEIGHTS, "SELECT * FROM w_dist"),
-        "visualization_bundle": packages_with(
-            _chain(BREAKDOWN, DESTINATION, RETURNS, WEIGHTS, trend_cte("%Y-W%W"), SERVICE),
-            """SELECT 'cost_breakdown_pie' AS dataset, count(*) AS points FROM breakdown
-               UNION ALL SELECT 'cost_breakdown_bar', count(*) FROM breakdown
-               UNION ALL SELECT 'destination_map', count(*) FROM destination
-                 JOIN dim ON dim.alpha2 = country_code WHERE alpha3 IS NOT NULL
-               UNION ALL SELECT 'destination_bar', least(count(*), 15) FROM destination
-               UNION ALL SELECT 'trend_chart', count(*) FROM trend
-               UNION ALL SELECT 'return_reasons', least(count(*), 15) FROM ret_reason
-               UNION ALL SELECT 'weight_distribution', count(*) FROM w_dist
-               UNION ALL SELECT 'weight_scatter', count(*) FROM w_sample
-               UNION ALL SELECT 'service_comparison', count(*) FROM service""",
-        ),
     }
 
 
@@ -1027,16 +1014,6 @@ def displays() -> dict[str, str]:
                coalesce(substring(service_name, 1, 12), '') AS "Service",
                format('{:,.0f}', total_charge) AS "Cost" FROM top""",
         ),
-        "report_bundle": packages_with(
-            _chain(BREAKDOWN, DESTINATION, RETURNS, top_cte(15)),
-            """SELECT 1 AS position, 'title' AS section, 1 AS rows
-               UNION ALL SELECT 2, 'summary', 10
-               UNION ALL SELECT 3, 'cost', count(*) FROM breakdown
-               UNION ALL SELECT 4, 'destinations', least(count(*), 15) FROM destination
-               UNION ALL SELECT 5, 'returns', count(*) * 4 FROM ret_summary
-               UNION ALL SELECT 6, 'return_types', least(count(*), 10) FROM ret_reason
-               UNION ALL SELECT 7, 'top_expenses', count(*) FROM top""",
-        ),
     }
 
 
@@ -1068,9 +1045,57 @@ def documented() -> dict[str, str]:
     }
 
 
+def _cells(name: str, tables: dict[str, str], sql: dict[str, str]) -> str:
+    """Every value of the tables that other queries give, one by one."""
+    parts = [
+        f"""SELECT '{table}' AS "{name}", "column", value
+            FROM (SELECT COLUMNS(*)::VARCHAR FROM ({sql[query]}))
+            UNPIVOT INCLUDE NULLS (value FOR "column" IN (COLUMNS(*)))"""
+        for table, query in tables.items()
+    ]
+    return f"""SELECT "{name}", "column", CASE WHEN number IS NULL THEN value END AS text, number
+        FROM (SELECT *, TRY_CAST(value AS DOUBLE) AS number FROM ({" UNION ALL ".join(parts)}))"""
+
+
+def bundles(sql: dict[str, str]) -> dict[str, str]:
+    charts = {
+        "cost_breakdown_pie": "cost_pie",
+        "cost_breakdown_bar": "cost_bars",
+        "destination_map": "map_points",
+        "destination_bar": "top_destinations",
+        "trend_chart": "trend_series",
+        "return_reasons": "return_reasons_top",
+        "weight_distribution": "weight_bars",
+        "weight_scatter": "weight_sample",
+        "service_comparison": "service_compare",
+    }
+    sections = ("title", "summary", "cost", "destinations", "returns", "return_types")
+    report = {s: f"report_{s}" for s in sections} | {"top_expenses": "report_top"}
+    displays = {
+        "cost": "display_cost",
+        "destination": "display_destinations",
+        "trend": "display_trends",
+        "returns_metrics": "metrics_returns",
+        "returns_country": "display_returns_by_country",
+        "weights_metrics": "metrics_weights",
+        "service": "display_services",
+        "duties_metrics": "metrics_duties",
+        "duties": "display_duties",
+        "accessorials_metrics": "metrics_accessorials",
+        "accessorial": "display_accessorials",
+        "top_expense": "display_top_expenses",
+    }
+    return {
+        "visualization_bundle": _cells("dataset", charts, sql),
+        "report_bundle": _cells("section", report, sql),
+        "display_bundle": _cells("table", displays, sql),
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     groups = (
         sources, typing, derived, filters, rollup, summaries, analyses, chart_data, displays,
         documented,
     )
-    return {name: sql for group in groups for name, sql in group().items()}
+    single = {name: sql for group in groups for name, sql in group().items()}
+    return single | bundles(single)

@@ -23,7 +23,7 @@ from freightlens.operators.typing import coerce_types
 from freightlens.plans import charts, display, report
 from freightlens.plans.analyzer import BillingAnalyzer
 from freightlens.schema import NA_TOKENS
-from freightlens.session import shared_folder, tune
+from freightlens.session import landed, shared_folder, tune
 from freightlens.sources import billing_csv as csv
 from freightlens.sources import sample_tables as sample
 
@@ -159,7 +159,7 @@ def source_lineage(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _write_order_files(spark: SparkSession, sf: str, *odd_even: bool) -> list[str]:
+def write_order_files(spark: SparkSession, sf: str, *odd_even: bool) -> list[str]:
     """Orders as billing CSV files in the shared folder; returns the folders."""
     key = F.col("o_orderkey")
     price = F.col("o_totalprice").cast("decimal(18,2)").cast("string")
@@ -181,7 +181,7 @@ def _write_order_files(spark: SparkSession, sf: str, *odd_even: bool) -> list[st
 
 
 def scan_folder(spark: SparkSession, sf: str) -> DataFrame:
-    (folder,) = _write_order_files(tune(spark), sf)
+    (folder,) = write_order_files(tune(spark), sf)
     lines = csv.read_folder(spark, folder)
     return as_doubles(
         lines.select("invoice_number", "invoice_date", "net_amount", "recipient_name")
@@ -189,7 +189,7 @@ def scan_folder(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def union_files(spark: SparkSession, sf: str) -> DataFrame:
-    folders = _write_order_files(tune(spark), sf, True, False)
+    folders = write_order_files(tune(spark), sf, True, False)
     return csv.read_files(spark, folders).agg(
         F.count("*").alias("lines"),
         F.count_distinct("invoice_number").alias("invoices"),
@@ -218,7 +218,7 @@ def _cut_off(spark: SparkSession, sf: str, folder: str) -> str:
 
 def isolate_bad_files(spark: SparkSession, sf: str) -> DataFrame:
     """The order files with an empty one, a damaged one and a missing path among them, by status."""
-    (folder,) = _write_order_files(tune(spark), sf)
+    (folder,) = write_order_files(tune(spark), sf)
     spark.createDataFrame([], "c0 string").coalesce(1).write.mode("append").csv(folder)
     paths = [folder, _cut_off(spark, sf, f"{folder}-damaged"), f"{folder}-missing"]
     return (
@@ -360,27 +360,32 @@ def summary_empty(lines: DataFrame) -> DataFrame:
 # --- bundles -------------------------------------------------------------------
 
 
-def _sizes(tables: dict[str, DataFrame], name: str) -> DataFrame:
-    counts = None
+def _cells(tables: dict[str, DataFrame], name: str) -> DataFrame:
+    """Every value of every table: the table's name, the column, and a text or a number."""
+    out = None
     for key, df in tables.items():
-        one = df.agg(F.lit(key).alias(name), F.count("*").alias("n"))
-        counts = one if counts is None else counts.unionByName(one)
-    return counts
+        texts = df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in df.columns])
+        one = texts.unpivot([], texts.columns, "column", "value").withColumn(name, F.lit(key))
+        out = one if out is None else out.unionByName(one)
+    number = F.col("value").try_cast("double")
+    return out.select(name, "column", F.when(number.isNull(), F.col("value")).alias("text"), number.alias("number"))
+
+
+def _analyzer(lines: DataFrame, dim: DataFrame) -> BillingAnalyzer:
+    """With the packages written to the shared folder, one rollup for all tables."""
+    return BillingAnalyzer(lines, dim, landed(rollup.packages(lines)))
 
 
 def visualization_bundle(lines: DataFrame, dim: DataFrame) -> DataFrame:
-    tables = BillingAnalyzer(lines, dim).chart_tables()
-    return _sizes(tables, "dataset").withColumnRenamed("n", "points")
+    return _cells(_analyzer(lines, dim).chart_tables(), "dataset")
 
 
 def report_bundle(lines: DataFrame, dim: DataFrame) -> DataFrame:
-    tables = BillingAnalyzer(lines, dim).report_tables()
-    order = F.array(*map(F.lit, report.SECTIONS))
-    return _sizes(tables, "section").select(
-        F.array_position(order, F.col("section")).cast("int").alias("position"),
-        "section",
-        F.col("n").alias("rows"),
-    )
+    return _cells(_analyzer(lines, dim).report_tables(), "section")
+
+
+def display_bundle(lines: DataFrame, dim: DataFrame) -> DataFrame:
+    return _cells(_analyzer(lines, dim).display_tables(), "table")
 
 
 def _grouped(df: DataFrame, key: str) -> DataFrame:
@@ -548,6 +553,7 @@ def queries() -> dict[str, Query]:
         "service_compare": on_packages(lambda p: charts.service_compare(by_service(p))),
         "weight_bars": on_packages(lambda p: charts.weight_bars(weights.weights_distribution(p))),
         "visualization_bundle": on_lines_dim(visualization_bundle),
+        "display_bundle": on_lines_dim(display_bundle),
         # display tables
         "display_cost": on_lines(lambda x: display.cost_table(costs.cost_breakdown(x))),
         "display_destinations": by_country(display.destination_table),

@@ -59,18 +59,40 @@ class AccessorialsResult:
     trends: DataFrame
 
 
+class Bundle(dict[str, DataFrame]):
+    """Named tables. As a context manager, it keeps what they share while they are read.
+
+    ``with a.report_tables() as tables:`` computes the package rollup once for all of
+    them and gives its space back at the end.
+    """
+
+    def __init__(self, tables: dict[str, DataFrame], *shared: DataFrame):
+        super().__init__(tables)
+        self._shared = [df for df in shared if df.storageLevel == StorageLevel.NONE]
+
+    def __enter__(self) -> Bundle:
+        for df in self._shared:
+            df.persist(StorageLevel.MEMORY_AND_DISK)
+        return self
+
+    def __exit__(self, *exc: object) -> None:
+        for df in self._shared:
+            df.unpersist()
+
+
 class BillingAnalyzer:
     """All analyses as lazy DataFrames over one table of billing lines.
 
-    Single analyses need nothing else: each reads just its columns. Call
-    :meth:`keep_packages` before running several of them, so that the package
-    rollup is computed once.
+    Single analyses need nothing else: each reads just its columns. For several of
+    them, call :meth:`keep_packages` first, or give the ``packages`` of these lines
+    that were written before, so that the rollup is computed once.
     """
 
-    def __init__(self, lines: DataFrame, countries: DataFrame | None = None):
+    def __init__(self, lines: DataFrame, countries: DataFrame | None = None, packages: DataFrame | None = None):
         self.lines = lines
         self._countries = countries
-        self._kept: DataFrame | None = None
+        self._written = packages
+        self._kept: DataFrame | None = packages
 
     @cached_property
     def countries(self) -> DataFrame:
@@ -99,7 +121,7 @@ class BillingAnalyzer:
         return self
 
     def release(self) -> None:
-        if self._kept is not None:
+        if self._kept is not None and self._written is None:
             self._kept.unpersist()
             self._kept = None
 
@@ -187,6 +209,10 @@ class BillingAnalyzer:
             return top_packages(self._kept, n)
         return top_expenses(self.lines, n)
 
+    def _top_of_packages(self, n: int) -> DataFrame:
+        """From the packages that a bundle has rolled up for its other tables anyway."""
+        return top_packages(self._pkgs, n)
+
     def customers(self) -> DataFrame:
         return rules.customer_of_shipment(self._pkgs)
 
@@ -201,11 +227,11 @@ class BillingAnalyzer:
     def kpi_cards(self) -> DataFrame:
         return charts.kpi_cards(self.get_summary())
 
-    def chart_tables(self) -> dict[str, DataFrame]:
+    def chart_tables(self) -> Bundle:
         """The datasets of the nine overview charts."""
         breakdown, places = self.analyze_cost_breakdown(), self.analyze_by_destination()
         weight = self.analyze_weights()
-        return {
+        tables = {
             "cost_breakdown_pie": charts.cost_pie(breakdown),
             "cost_breakdown_bar": charts.cost_bars(breakdown),
             "destination_map": charts.map_points(places, self.countries),
@@ -216,12 +242,13 @@ class BillingAnalyzer:
             "weight_scatter": as_doubles(weights.weight_sample(self._pkgs)),
             "service_comparison": charts.service_compare(self.analyze_services()),
         }
+        return Bundle(tables, self._pkgs)
 
-    def display_tables(self, period: str = "week", top_n: int = 20) -> dict[str, DataFrame]:
+    def display_tables(self, period: str = "week", top_n: int = 20) -> Bundle:
         """The dashboard's tables and metric strips as display text."""
         back, duty = self.analyze_returns(), self.analyze_duties_and_brokerage()
         extra, unit = self.analyze_accessorials(), currency(self.lines)
-        return {
+        tables = {
             "cost": display.cost_table(self.analyze_cost_breakdown()),
             "destination": display.destination_table(self.analyze_by_destination()),
             "trend": display.trend_table(self.analyze_trends(period)),
@@ -233,10 +260,11 @@ class BillingAnalyzer:
             "duties": display.duties_table(duty.detail),
             "accessorials_metrics": display.accessorials_metrics(extra.summary, unit),
             "accessorial": display.accessorial_table(extra.by_charge_code),
-            "top_expense": display.top_expense_table(self.get_top_expenses(top_n), unit),
+            "top_expense": display.top_expense_table(self._top_of_packages(top_n), unit),
         }
+        return Bundle(tables, self._pkgs, unit)
 
-    def report_tables(self) -> dict[str, DataFrame]:
+    def report_tables(self) -> Bundle:
         """The report's tables in the order of its sections."""
         figures, back = self.get_summary(), self.analyze_returns()
         tables = (
@@ -246,16 +274,11 @@ class BillingAnalyzer:
             report.report_destinations(self.analyze_by_destination()),
             report.report_returns(back.summary),
             report.report_return_types(back.by_reason),
-            report.report_top(self.get_top_expenses(15)),
+            report.report_top(self._top_of_packages(15)),
         )
-        return dict(zip(report.SECTIONS, tables, strict=True))
+        return Bundle(dict(zip(report.SECTIONS, tables, strict=True)), self._pkgs, figures)
 
     def write_report(self, path: str, run_id: str, fmt: str = "parquet") -> list[str]:
         """Write the report's tables under one run id, with one package rollup for all."""
-        kept_before = self._kept is not None
-        self.keep_packages()
-        try:
-            return write_tables(self.report_tables(), path, run_id, fmt)
-        finally:
-            if not kept_before:
-                self.release()
+        with self.report_tables() as tables:
+            return write_tables(tables, path, run_id, fmt)

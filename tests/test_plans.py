@@ -79,6 +79,18 @@ def test_dates_prune_the_months_of_a_landed_table(analyzer):
     assert "1997-03-05" <= str(days.min_date) <= str(days.max_date) <= "1997-03-20"
 
 
+def test_a_bundle_rolls_up_once_and_gives_its_space_back(spark, analyzer):
+    held = spark.sparkContext._jsc.getPersistentRDDs
+    before = held().size()
+    for bundle in (analyzer.report_tables, analyzer.chart_tables, analyzer.display_tables):
+        with bundle() as tables:
+            for df in tables.values():
+                df.count()
+            assert held().size() > before
+            assert "InMemoryTableScan" in plan(list(tables.values())[-1])
+        assert held().size() == before
+
+
 def test_top_expenses_is_a_top_k(analyzer):
     assert "TakeOrderedAndProject" in plan(analyzer.get_top_expenses(20))
 
