@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from freightlens.session import shared_folder
 
 #: Characters of text handled at a time inside a task; one longer text is a slice of its own.
-SLICE_CHARS = 1 << 21
+SLICE_CHARS = 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -131,8 +131,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     found = union.select("lang", "text").mapInArrow(_features, "lang string, x binary").orderBy("lang", "x").collect()
     if not found:
         return None
-    x = np.frombuffer(b"".join(bytes(r["x"]) for r in found), np.float16).reshape(len(found), FEATURES).astype(np.float32)
-    return Model.train(x, np.array([r["lang"] for r in found], object))
+    x, langs = np.empty((len(found), FEATURES), np.float32), np.array([r["lang"] for r in found], object)
+    for i in range(len(found)):
+        x[i], found[i] = np.frombuffer(found[i]["x"], np.float16), None
+    return Model.train(x, langs)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", modulus: int = 4, model: Model | None = None) -> DataFrame:
@@ -142,8 +144,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            for start in range(0, part.num_rows, 1024):
-                rows = part.slice(start, 1024)
+            for start in range(0, part.num_rows, 256):
+                rows = part.slice(start, 256)
                 known = has_letter(rows.column("text"))
                 lang, score = np.full(rows.num_rows, UNKNOWN, object), np.zeros(rows.num_rows)
                 if shared.value is not None and known.any():
@@ -163,8 +165,8 @@ def keep_identified(docs: DataFrame, least_score: float, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text_col):
-            for start in range(0, part.num_rows, 1024):
-                rows = part.slice(start, 1024)
+            for start in range(0, part.num_rows, 256):
+                rows = part.slice(start, 256)
                 text = rows.column(text_col)
                 keep = has_letter(text)
                 if shared.value is not None and keep.any():
