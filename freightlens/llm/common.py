@@ -47,12 +47,14 @@ def learned_from(doc_id: Column, modulus: int) -> Column:
     return F.coalesce(remainder(doc_id, modulus) != 2, F.lit(False))
 
 
-def sampled(rows: DataFrame, key: Column, bound: int, total: int) -> DataFrame:
-    """About ``bound`` of ``total`` rows, chosen by a hash of ``key`` alone."""
-    if total <= bound:
-        return rows
+def is_sampled(key: Column, bound: int, total: int) -> Column:
+    """True for about ``bound`` of ``total`` rows (all if there are fewer), by a hash of ``key`` alone."""
     scale = 1 << 30
-    return rows.filter(F.pmod(F.xxhash64(key, F.lit(17)), F.lit(scale)) < int(scale * bound / total))
+    return F.pmod(F.xxhash64(key, F.lit(17)), F.lit(scale)) < min(scale, int(scale * bound / max(total, 1)))
+
+
+def sampled(rows: DataFrame, key: Column, bound: int, total: int) -> DataFrame:
+    return rows.filter(is_sampled(key, bound, total))
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from freightlens.llm import svm
-from freightlens.llm.common import flat, held_out, learned_from, sampled, slices
+from freightlens.llm.common import flat, held_out, is_sampled, learned_from, slices
 
 #: Families by language code; a language that is not listed is a family of its own.
 FAMILIES = {
@@ -122,13 +122,12 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("text"), F.col(f"`{lang_col}`").alias("lang"))
     rows = rows.filter(learned_from(F.col("doc_id"), modulus) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
-    picked = [sampled(rows.filter(F.col("lang") == lang), F.col("doc_id"), per_language, n) for lang, n in counts.items()]
-    if not picked:
+    if not counts:
         return None
-    union = picked[0]
-    for more in picked[1:]:
-        union = union.unionByName(more)
-    found = union.select("lang", "text").mapInArrow(_features, "lang string, x binary").orderBy("lang", "x").collect()
+    picked = F.lit(False)  # one condition, so one scan for all languages
+    for lang, n in counts.items():
+        picked = picked | ((F.col("lang") == lang) & is_sampled(F.col("doc_id"), per_language, n))
+    found = rows.filter(picked).select("lang", "text").mapInArrow(_features, "lang string, x binary").orderBy("lang", "x").collect()
     if not found:
         return None
     x, langs = np.empty((len(found), FEATURES), np.float32), np.array([r["lang"] for r in found], object)
