@@ -162,6 +162,13 @@ def test_each_symbol_is_scored_once():
     assert (x[place >= 0][firsts] == lm.OUTPUTS).all() and (x[place >= 0][~firsts] == symbols[scored[~firsts] - 1]).all()
 
 
+def test_each_symbol_behind_a_border_has_half_a_window_of_context():
+    n = 5 * lm.WINDOW + 3
+    _, _, place = lm.windows(np.array([0, n]), np.arange(n) % lm.OUTPUTS)
+    context = (place < 0).argmin(axis=1)[1:]  # ids of the window in front of its first scored one
+    assert len(context) and (context >= lm.WINDOW // 2).all()
+
+
 def test_training_beats_the_unigram(docs):
     rows = docs.select("text").limit(150).toPandas()["text"].tolist()
     vocabulary = lm.bpe.load(VOCABULARY)
