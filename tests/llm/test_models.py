@@ -117,6 +117,42 @@ def test_model_of_an_empty_table(docs):
     assert lm.score_texts(docs.limit(0), VOCABULARY).collect() == []
 
 
+def test_training_covers_all_texts(spark, monkeypatch):
+    """More texts than a fixed sample of 1,500 would hold, dealt to several shards."""
+    monkeypatch.setattr(lm, "STEPS", 60)
+    trained, given = [], lm._trained
+    monkeypatch.setattr(lm, "_trained", lambda texts, *a: trained.append((texts.count(), texts.select("shard").distinct().count())) or given(texts, *a))
+    rng = np.random.default_rng(0)
+    names = ["stone", "river", "green", "silver", "winter", "golden", "summer", "market"]
+    text = lambda n: " ".join(f"{names[k]} {('north', 'south')[k % 2]}" for k in rng.integers(0, 8, n))
+    rows = [(i, text(90)) for i in range(3000)]
+    turned = [(10**6 + i, t.replace("north", "#").replace("south", "north").replace("#", "south")) for i, t in rows[:50]]
+    df = spark.createDataFrame(rows + turned, "doc_id long, text string").repartition(4, "doc_id")
+    got = {r["doc_id"]: r["score"] for r in lm.score_texts(df, VOCABULARY).collect()}
+    assert sum(n for n, _ in trained) == sum(_rest(i, 7) != 2 for i, _ in rows + turned)
+    assert len(trained) == lm.ROUNDS and all(shards > 1 for _, shards in trained)
+    assert np.mean([got[i] - got[10**6 + i] for i in range(50)]) > 5
+
+
+def test_attention_tells_ids_of_one_symbol_apart():
+    rng = np.random.default_rng(0)
+    ids = rng.integers(0, 50, (500, lm.WINDOW))
+    x, y = np.full(ids.shape, lm.OUTPUTS - 1), ids % 2
+    model = lm.Attention.fresh(ids=50)
+    model.train(x, y, np.ones(x.shape, np.float32), steps=150, ids=ids)
+    assert model.log10(x, y, ids).mean() > -0.1  # -0.3 is a guess
+
+
+def test_rows_restore_the_parameters():
+    model = lm.Attention.fresh(2, ids=9)
+    model.p["id"][:] = np.arange(9)[:, None]
+    row, weight, values = model.rows(3.0, np.array([0, 2, 0, 0, 0, 0, 0, 0, 1.0]))
+    assert sorted(set(weight)) == [1.0, 2.0, 3.0]
+    back = lm.Attention.fresh(5, ids=9).with_rows(row, values)
+    assert all((back.p[k] == a).all() for k, a in model.p.items() if k != "id")
+    assert back.p["id"][:, 0].tolist() == [0, 1, 0, 0, 0, 0, 0, 0, 8]
+
+
 def _model(symbols=40):
     model = lm.Attention.fresh(3)
     model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
