@@ -12,8 +12,9 @@ result equals comparing everything.
 
 Words are lower-case runs of characters other than blanks, tabs and line breaks.
 Defined cases: null and empty texts have no overlaps; an item of fewer than
-``WINDOW`` words is not looked for; repeated rows and rows without id are judged
-by text (documents of one id share their overlaps); clashing columns are not read.
+``WINDOW`` words is not looked for; a row is told by its id and the digest of its
+text, so rows without id and rows that share an id are each judged by their own
+text; clashing columns are not read.
 """
 
 from __future__ import annotations
@@ -48,15 +49,15 @@ def _seeds(words: str) -> Column:
 
 
 def _hits(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Distinct (__doc, __item, __shift) of seed matches."""
+    """Distinct (__doc, __row, __item, __shift) of seed matches."""
     seeds = items.select("__item", F.explode(_seeds("__iw")).alias("s")).select("__item", F.col("s.key").alias("__key"), F.col("s.at").alias("__item_at"))
     seeds = written(seeds.distinct())
     cells = filter_size(8 * seeds.count())
     words = written(hit_cells(seeds.select("__key"), cells, 1))
-    found = docs.select("__doc", F.explode(_seeds("__dw")).alias("s")).select("__doc", F.col("s.key").alias("__key"), F.col("s.at").alias("__doc_at"))
-    maybe = with_flag(found, words, cells).filter("__maybe").select("__doc", "__key", "__doc_at")
+    found = docs.select("__doc", "__row", F.explode(_seeds("__dw")).alias("s")).select("__doc", "__row", F.col("s.key").alias("__key"), F.col("s.at").alias("__doc_at"))
+    maybe = with_flag(found, words, cells).filter("__maybe").select("__doc", "__row", "__key", "__doc_at")
     shift = (F.col("__doc_at") - F.col("__item_at")).alias("__shift")
-    return maybe.join(seeds, "__key").select("__doc", "__item", shift).distinct()
+    return maybe.join(seeds, "__key").select("__doc", "__row", "__item", shift).distinct()
 
 
 def _windows() -> Column:
@@ -70,22 +71,31 @@ def _windows() -> Column:
     )
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """One row per overlap: doc_id, item_id, shift, doc_from, doc_to (words, end excluded), item_from, agree (the most in a window)."""
+def _digest(text: Column) -> Column:
+    return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
+
+
+def _judged(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text: str) -> DataFrame:
+    """The (__doc, __row, __item, __shift) that overlap, with their windows ``__w``; __row is the text's digest."""
     items = benchmark.select(F.col(f"`{item_col}`").alias("__item"), word_hashes(F.col(f"`{item_text}`")).alias("__iw")).filter(F.size("__iw") >= WINDOW)
     items = written(items.distinct())
-    rows = docs.select(F.col(f"`{id_col}`").alias("__doc"), F.col(f"`{text_col}`").alias("__text"))
-    hits = written(_hits(rows.select("__doc", word_hashes(F.col("__text")).alias("__dw")), items))
+    rows = docs.select(F.col(f"`{id_col}`").alias("__doc"), _digest(F.col(f"`{text_col}`")).alias("__row"), F.col(f"`{text_col}`").alias("__text"))
+    hits = written(_hits(rows.select("__doc", "__row", word_hashes(F.col("__text")).alias("__dw")), items))
     # the filter keeps documents without hits out of the join's shuffle
-    ids = hits.select(F.xxhash64("__doc").alias("__key")).distinct()
+    ids = hits.select(F.xxhash64("__doc", "__row").alias("__key")).distinct()
     cells = filter_size(hits.count())
-    chosen = with_flag(rows.withColumn("__key", F.xxhash64("__doc")), written(hit_cells(ids, cells, 1)), cells).filter("__maybe")
-    joined = hits.join(chosen.select(F.col("__doc").alias("__d"), "__text"), F.col("__doc").eqNullSafe(F.col("__d")))
+    chosen = with_flag(rows.withColumn("__key", F.xxhash64("__doc", "__row")), written(hit_cells(ids, cells, 1)), cells).filter("__maybe")
+    once = chosen.select(F.col("__doc").alias("__d"), F.col("__row").alias("__r"), "__text").dropDuplicates(["__d", "__r"])
+    joined = hits.join(once, (F.col("__row") == F.col("__r")) & F.col("__doc").eqNullSafe(F.col("__d")))
     joined = joined.join(items.withColumnRenamed("__item", "__i"), F.col("__item").eqNullSafe(F.col("__i")))
     joined = joined.withColumn("__dw", word_hashes(F.col("__text")))
     joined = joined.withColumns({"__lo": F.greatest(F.lit(0), -F.col("__shift")), "__hi": F.least(F.size("__iw"), F.size("__dw") - F.col("__shift")) - 1})
-    judged = joined.filter(f"__hi - __lo + 1 >= {WINDOW}").withColumn("__w", _windows()).filter("size(__w) > 0")
-    return judged.select(
+    return joined.filter(f"__hi - __lo + 1 >= {WINDOW}").withColumn("__w", _windows()).filter("size(__w) > 0")
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """One row per overlap: doc_id, item_id, shift, doc_from, doc_to (words, end excluded), item_from, agree (the most in a window)."""
+    return _judged(docs, benchmark, id_col, text_col, item_col, item_text).select(
         F.col("__doc").alias("doc_id"),
         F.col("__item").alias("item_id"),
         F.col("__shift").cast("long").alias("shift"),
@@ -98,5 +108,6 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of ``docs`` without overlaps."""
-    found = overlaps(docs, benchmark, id_col, text_col, item_col, item_text).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(found, F.col(f"`{id_col}`").eqNullSafe(F.col("__gone")), "left_anti")
+    found = _judged(docs, benchmark, id_col, text_col, item_col, item_text).select(F.col("__doc").alias("__gone"), "__row").distinct()
+    same = (_digest(F.col(f"`{text_col}`")) == F.col("__row")) & F.col(f"`{id_col}`").eqNullSafe(F.col("__gone"))
+    return docs.join(found, same, "left_anti")

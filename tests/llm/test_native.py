@@ -67,6 +67,16 @@ def test_decontamination_of_planted_passages(spark, docs, odd):
     assert dc.overlaps(planted.limit(0), bench).collect() == [] == dc.overlaps(planted, bench.limit(0)).collect()
 
 
+def test_decontamination_judges_rows_of_one_id_apart(spark):
+    item = " ".join(f"Word{i}" for i in range(20))
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [(None, item), (None, "a clean text"), (None, None), (7, item + " x"), (7, "another clean text"), (7, item + " x")]
+    planted = spark.createDataFrame(rows, "doc_id long, text string")
+    left = {(r["doc_id"], r["text"]) for r in dc.drop_contaminated(planted, bench).collect()}
+    assert left == {(None, "a clean text"), (None, None), (7, "another clean text")}
+    assert sorted((r["doc_id"] or 0, r["doc_to"]) for r in dc.overlaps(planted, bench).collect()) == [(0, 20), (7, 20)]
+
+
 def test_components_against_union_find(spark):
     edges = [(f"n{i}", f"n{i + 1}") for i in range(0, 60) if i % 13] + [("hub", f"leaf{i}") for i in range(200)] + [("a", "a"), (None, "b")]
     got = {r["node"]: r["label"] for r in components(spark.createDataFrame(edges, "u string, v string")).collect()}
