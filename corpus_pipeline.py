@@ -1,7 +1,8 @@
 """Training-corpus pipeline over ``documents``: each stage's rows are written and read by the next.
 
-1. ``language_id`` drops documents without a letter, and those whose language is so
-   unsure that the score is below ``LEAST_SCORE``.
+1. ``language_id`` drops documents without a letter, those whose trigrams fit no
+   language of the training texts (other languages, keys, gibberish), and those that score below
+   ``LEAST_SCORE``.
 2. ``exact_dedup`` keeps the smallest doc_id of equal texts.
 3. ``jaccard_join`` keeps the smallest doc_id of each class of near duplicates.
 4. ``decontamination`` drops documents that overlap with a benchmark item.
@@ -28,7 +29,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 #: SQL cannot express the language model and BPE; tests hold each stage against brute force.
 ORACLE_SQL: str | None = None
-#: A text of one known language scores over 0.9 mostly, a mixed one over 0.28.
+#: Below what a text can score where there are one or two families; with more, no family may claim it.
 LEAST_SCORE = 0.2
 
 

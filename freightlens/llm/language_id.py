@@ -9,7 +9,11 @@ language, chosen by a hash of the id; what is collected is at most ``FEATURES``
 numbers of 4 bytes for each of these.
 
 The score is the product of the logistic margins of the family and of the closest
-pair that the language won.
+pair that the language won. It says how much nearer a language is than the others,
+not that the text is in any of them (with two families it is never below 0.25). For
+that, each language keeps the columns with ``COVERED`` of its training texts' trigrams:
+a text fits one where the share of its trigrams in there, and some more the fewer it has,
+reaches ``LEAST_FIT`` of what all but 1 % of the training texts reach.
 
 Defined cases: a null text and one without any letter is ``und`` with score 0; an
 empty training set gives ``und`` for all; one language only is always predicted;
@@ -42,6 +46,7 @@ FEATURES = 1 << 12
 PER_LANGUAGE = 1000
 MOST_LANGUAGES = 64
 UNKNOWN = "und"
+COVERED, LEAST_FIT = 0.95, 2 / 3
 #: Steepness of the logistic function of a margin.
 SLOPE = 4.0
 
@@ -66,13 +71,31 @@ def has_letter(texts: pa.Array) -> np.ndarray:
     return pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False)
 
 
+def _fit_to(x: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """Share of each row's trigrams in these columns, with an allowance for rows of few trigrams."""
+    return (x**2) @ columns + 1 / np.sqrt(np.maximum((x > 0).sum(axis=1), 1))
+
+
+def _profile(x: np.ndarray) -> tuple[np.ndarray, float]:
+    """(columns with most of the trigrams, least fit) of one language's training rows."""
+    share = (x**2).mean(axis=0)
+    order = np.argsort(-share, kind="stable")
+    columns = np.zeros(x.shape[1], np.float32)
+    columns[order[: np.searchsorted(np.cumsum(share[order]), COVERED * share.sum()) + 1]] = 1
+    return columns, LEAST_FIT * float(np.quantile(_fit_to(x, columns), 0.01))
+
+
 @dataclass
 class Model:
-    """Weights of the family and pair machines; ``families`` lists each family's languages."""
+    """Weights of the family and pair machines; ``families`` lists each family's languages.
+
+    ``profiles`` has each language's columns of frequent trigrams and the least fit to them.
+    """
 
     families: list[list[str]]
     family_weights: np.ndarray
     pair_weights: dict[tuple[str, str], np.ndarray]
+    profiles: dict[str, tuple[np.ndarray, float]]
 
     @staticmethod
     def train(x: np.ndarray, langs: np.ndarray, families: Mapping[str, str] = FAMILIES) -> Model:
@@ -86,7 +109,15 @@ class Model:
             for a, b in combinations(m, 2):
                 rows = np.isin(langs, [a, b])
                 pairs[a, b] = svm.train(x[rows], np.where(langs[rows] == a, 1, -1))
-        return Model(members, np.array(against, np.float32).T, {k: w.astype(np.float32) for k, w in pairs.items()})
+        profiles = {lang: _profile(x[langs == lang]) for lang in set(langs)}
+        return Model(members, np.array(against, np.float32).T, {k: w.astype(np.float32) for k, w in pairs.items()}, profiles)
+
+    def fits(self, x: np.ndarray) -> np.ndarray:
+        """True where a row's trigrams are those of some language; a short text's may be another than is predicted."""
+        out = np.zeros(len(x), bool)
+        for columns, least in self.profiles.values():
+            out |= _fit_to(x, columns) >= least
+        return out
 
     def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(language, score) of each row."""
@@ -157,7 +188,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def keep_identified(docs: DataFrame, least_score: float, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of ``docs`` with a predicted language and at least this score."""
+    """The rows of ``docs`` that fit a language and have at least this score."""
     model = fit(docs, id_col, text_col, lang_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = docs.schema
@@ -169,7 +200,8 @@ def keep_identified(docs: DataFrame, least_score: float, id_col: str = "doc_id",
                 text = rows.column(text_col)
                 keep = has_letter(text)
                 if shared.value is not None and keep.any():
-                    keep[keep] = shared.value.predict(trigrams(text.filter(pa.array(keep))))[1] >= least_score
+                    x = trigrams(text.filter(pa.array(keep)))
+                    keep[keep] = (shared.value.predict(x)[1] >= least_score) & shared.value.fits(x)
                 yield rows.filter(pa.array(keep))
 
     return docs.mapInArrow(run, schema)

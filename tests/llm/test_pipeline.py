@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import random
+import string
 
 from freightlens.llm.common import written
 from tests.llm.test_jaccard import brute
@@ -48,3 +50,20 @@ def test_stages(spark, sf_dir, docs):
 def test_run(spark, sf_dir):
     rows = cp.run(spark, sf_dir).collect()
     assert rows and len({r["doc_id"] for r in rows}) == len(rows)
+
+
+def test_language_stage_drops_foreign_and_gibberish_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rng = random.Random(1)
+    drawn = lambda letters, least, most, n: " ".join("".join(rng.choices(letters, k=rng.randint(least, most))) for _ in range(n))
+    low, keys = string.ascii_lowercase, string.ascii_letters + string.digits
+    planted = [
+        drawn(low, 3, 9, 200), drawn(low, 3, 9, 15), drawn(keys, 40, 40, 50),
+        "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью.",
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.",
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem.",
+    ]
+    rows = spark.createDataFrame([(10**9 + i, t) for i, t in enumerate(planted)], "doc_id long, text string")
+    given = written(docs.unionByName(rows, allowMissingColumns=True))
+    kept = {r["doc_id"] for r in cp.language_id(spark, given, "").select("doc_id").collect()}
+    assert kept == {r["doc_id"] for r in docs.collect() if any(c.isalpha() for c in r["text"] or "")}
