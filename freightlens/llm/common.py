@@ -47,10 +47,22 @@ def learned_from(doc_id: Column, modulus: int) -> Column:
     return F.coalesce(remainder(doc_id, modulus) != 2, F.lit(False))
 
 
+SCALE = 1 << 30
+
+
+def sample_place(key: Column) -> Column:
+    """Where a hash of ``key`` puts a row, from 0 to ``SCALE``."""
+    return F.pmod(F.xxhash64(key, F.lit(17)), F.lit(SCALE))
+
+
+def sample_limit(bound: int, total: int) -> int:
+    """About ``bound`` of ``total`` rows have their place below this."""
+    return min(SCALE, int(SCALE * bound / max(total, 1)))
+
+
 def is_sampled(key: Column, bound: int, total: int) -> Column:
     """True for about ``bound`` of ``total`` rows (all if there are fewer), by a hash of ``key`` alone."""
-    scale = 1 << 30
-    return F.pmod(F.xxhash64(key, F.lit(17)), F.lit(scale)) < min(scale, int(scale * bound / max(total, 1)))
+    return sample_place(key) < sample_limit(bound, total)
 
 
 def sampled(rows: DataFrame, key: Column, bound: int, total: int) -> DataFrame:

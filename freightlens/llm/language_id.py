@@ -5,8 +5,9 @@ letters as blanks), hashed to ``FEATURES`` columns. The language's family is
 predicted first, by one linear SVM per family against the rest; within the family,
 one-versus-one SVMs separate each pair of languages and vote. The models are trained
 on the driver from a bounded sample: about ``per_language`` labelled rows of each
-language, chosen by a hash of the id; what is collected is at most ``FEATURES``
-numbers of 4 bytes for each of these.
+language, chosen by a hash of the id, and fewer of each where that makes more than
+``MOST_ROWS``, but at least one; what is collected is at most ``FEATURES`` numbers of
+4 bytes for each of these. Every language is learned, so the time grows with their number.
 
 The score is the product of the logistic margins of the family and of the closest
 pair that the language won. It says how much nearer a language is than the others,
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from freightlens.llm import svm
-from freightlens.llm.common import flat, held_out, is_sampled, learned_from, slices
+from freightlens.llm.common import flat, held_out, learned_from, sample_limit, sample_place, slices
 
 #: Families by language code; a language that is not listed is a family of its own.
 FAMILIES = {
@@ -44,7 +45,7 @@ FAMILIES = {
 }
 FEATURES = 1 << 12
 PER_LANGUAGE = 1000
-MOST_LANGUAGES = 64
+MOST_ROWS = 16_000
 UNKNOWN = "und"
 COVERED, LEAST_FIT = 0.95, 2 / 3
 #: Steepness of the logistic function of a margin.
@@ -152,13 +153,14 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     text = F.col(f"`{text_col}`")
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("text"), F.col(f"`{lang_col}`").alias("lang"))
     rows = rows.filter(learned_from(F.col("doc_id"), modulus) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
+    place = sample_place(F.col("doc_id"))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min(place).alias("first")).collect()
     if not counts:
         return None
-    picked = F.lit(False)  # one condition, so one scan for all languages
-    for lang, n in counts.items():
-        picked = picked | ((F.col("lang") == lang) & is_sampled(F.col("doc_id"), per_language, n))
-    found = rows.filter(picked).select("lang", "text").mapInArrow(_features, "lang string, x binary").orderBy("lang", "x").collect()
+    each = min(per_language, MOST_ROWS // len(counts))
+    limits = [(r["lang"], max(r["first"] + 1, sample_limit(each, r["n"]))) for r in counts]
+    limits = docs.sparkSession.createDataFrame(limits, "lang string, below long")
+    found = rows.join(F.broadcast(limits), "lang").filter(place < F.col("below")).select("lang", "text").mapInArrow(_features, "lang string, x binary").orderBy("lang", "x").collect()
     if not found:
         return None
     x, langs = np.empty((len(found), FEATURES), np.float32), np.array([r["lang"] for r in found], object)

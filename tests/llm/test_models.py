@@ -58,6 +58,21 @@ def test_language_of_odd_rows(spark, odd, big):
     assert kept.columns == odd.columns and {r["doc_id"] for r in kept.collect()}.isdisjoint({0, 1, 2})
 
 
+def test_every_one_of_many_languages_is_learned(spark, monkeypatch):
+    monkeypatch.setattr(li, "MOST_ROWS", 300)
+    rng = np.random.default_rng(0)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    words = [["".join(rng.choice(letters, 7)) for _ in range(6)] for _ in range(70)]
+    rows = [(k * 100 + i, " ".join(rng.choice(words[k], 20)), f"l{k:02}") for k in range(70) for i in range(10 if k < 66 else 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = {r[2] for r in rows if _rest(r[0], 4) != 2}
+    assert len(learned) > 64
+    model = li.fit(df)
+    assert {m for f in model.families for m in f} == learned
+    got = {r["doc_id"]: r["lang_pred"] for r in li.identify(df, model=model).collect()}
+    assert np.mean([got[i] == lang for i, _, lang in rows if lang in learned]) > 0.95
+
+
 def test_quality_on_held_out_rows(spark, big):
     labels = spark.read.parquet(f"{BIG}/labels.parquet")
     truth = {r["doc_id"]: r["quality"] for r in labels.collect()}
