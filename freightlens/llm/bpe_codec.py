@@ -1,10 +1,10 @@
 """BPE encoding and decoding with a minimal acyclic transducer lexicon.
 
 One pass over all texts finds the frequent pre-tokens: each task keeps a summary
-of ``COUNTERS`` counters (when it is full, the middle count is taken off all of
-them), and the summaries add up. A word that makes up over 1 / ``COUNTERS`` of the
+of ``COUNTERS`` counters (when it holds twice as many, the count of the first one
+too many is taken off all of them), and the summaries add up. A word that makes up over 1 / ``COUNTERS`` of the
 pre-tokens cannot be missed, and no task or driver holds more. The ``lexicon_words``
-most frequent are merged once on the driver and compiled into a minimal acyclic
+most frequent of at most ``WORD_BYTES`` bytes are merged once on the driver and compiled into a minimal acyclic
 automaton: equal suffixes share their states, each transition carries the number of
 words that its earlier siblings lead to, and the sum on a path is the word's place
 in a table of ids. The file goes to the shared folder, Spark hands it to every
@@ -26,7 +26,6 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
@@ -39,6 +38,8 @@ from freightlens.session import shared_folder
 
 COUNTERS = 1 << 16
 LEXICON_WORDS = 1 << 16
+#: Longer words merge exactly and are not entered, so a lexicon is bounded in bytes.
+WORD_BYTES = 64
 _MAGIC = np.int64(0x4D415431)
 
 
@@ -46,18 +47,18 @@ def frequent_pretokens(rows: DataFrame, special: bytes, counters: int = COUNTERS
     """(word, n) from the summaries of all tasks; ``rows`` has a column ``text``."""
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = pd.Series(dtype=np.int64)
+        held: dict[bytes, int] = {}
         for part in slices(batches):
             begin, _ = split(*(cut := flat(part.column("text"))), special)
             if not len(begin):
                 continue
             distinct, index = encoded_dictionary(begin, cut[1])
-            new = pd.Series(np.bincount(index, minlength=len(distinct)), index=distinct.to_pylist())
-            held = held.add(new, fill_value=0).astype(np.int64)
-            if len(held) > counters:
-                held -= np.partition(held.to_numpy(), -counters - 1)[-counters - 1]
-                held = held[held > 0]
-        yield pa.record_batch([pa.array(held.index.tolist(), pa.binary()), pa.array(held.to_numpy())], ["word", "n"])
+            for word, n in zip(distinct.to_pylist(), np.bincount(index, minlength=len(distinct)).tolist(), strict=True):
+                held[word] = held.get(word, 0) + n
+            if len(held) > 2 * counters:
+                less = int(np.partition(np.fromiter(held.values(), np.int64, len(held)), -counters - 1)[-counters - 1])
+                held = {word: n - less for word, n in held.items() if n > less}
+        yield pa.record_batch([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
 
     found = rows.mapInArrow(summarise, "word binary, n long")
     return found.groupBy("word").agg(F.sum("n").alias("n"))
@@ -168,8 +169,9 @@ def _shipped(spark: SparkSession, content: bytes) -> str:
 
 def build_lexicon(docs: DataFrame, vocabulary: bpe.Vocabulary, text_col: str = "text", lexicon_words: int = LEXICON_WORDS) -> Lexicon:
     counted = frequent_pretokens(docs.select(F.col(f"`{text_col}`").alias("text")), vocabulary.special)
-    top = counted.orderBy(F.desc("n"), "word").limit(lexicon_words).select("word").collect()
-    return Lexicon.compile([bytes(r[0]) for r in top], vocabulary)
+    short = counted.filter(F.octet_length("word") <= WORD_BYTES)
+    top = short.orderBy(F.desc("n"), "word").limit(lexicon_words).select("word").toArrow()
+    return Lexicon.compile(top.column("word").to_pylist(), vocabulary)
 
 
 def encode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", lexicon_words: int = LEXICON_WORDS) -> DataFrame:

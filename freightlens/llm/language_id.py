@@ -6,8 +6,9 @@ predicted first, by one linear SVM per family against the rest; within the famil
 one-versus-one SVMs separate each pair of languages and vote. The models are trained
 on the driver from a bounded sample: about ``per_language`` labelled rows of each
 language, chosen by a hash of the id, and fewer of each where that makes more than
-``MOST_ROWS``, but at least one; what is collected is at most ``FEATURES`` numbers of
-4 bytes for each of these. Every language is learned, so the time grows with their number.
+``MOST_ROWS``, but at least one; what is collected, and trained on, are their columns that
+are not zero, at most ``FEATURES`` of 4 bytes each. Every language is learned, so the time grows
+with their number.
 
 The score is the product of the logistic margins of the family and of the closest
 pair that the language won. It says how much nearer a language is than the others,
@@ -17,9 +18,10 @@ a text fits one where the share of its trigrams in there, and some more the fewe
 reaches ``LEAST_FIT`` of what all but 1 % of the training texts reach.
 
 Defined cases: a null text and one without any letter is ``und`` with score 0; an
-empty training set gives ``und`` for all; one language only is always predicted;
-rows without id are predicted, but nothing is learned from them; repeated rows and
-clashing columns do not matter; very long texts are read whole.
+empty training set gives ``und`` for all; one language only is always predicted; of
+families, or pairs' votes, that tie, the first in alphabetical order wins; an empty table
+gives no rows; rows without id are predicted, but nothing is learned from them; repeated
+rows and clashing columns do not matter; very long texts are read whole.
 """
 
 from __future__ import annotations
@@ -77,13 +79,14 @@ def _fit_to(x: np.ndarray, columns: np.ndarray) -> np.ndarray:
     return (x**2) @ columns + 1 / np.sqrt(np.maximum((x > 0).sum(axis=1), 1))
 
 
-def _profile(x: np.ndarray) -> tuple[np.ndarray, float]:
+def _profile(x: svm.Rows) -> tuple[np.ndarray, float]:
     """(columns with most of the trigrams, least fit) of one language's training rows."""
-    share = (x**2).mean(axis=0)
+    share = np.bincount(x.columns, weights=x.values**2, minlength=x.width) / len(x)
     order = np.argsort(-share, kind="stable")
-    columns = np.zeros(x.shape[1], np.float32)
+    columns = np.zeros(x.width, np.float32)
     columns[order[: np.searchsorted(np.cumsum(share[order]), COVERED * share.sum()) + 1]] = 1
-    return columns, LEAST_FIT * float(np.quantile(_fit_to(x, columns), 0.01))
+    fit = x.totals(x.values**2 * columns[x.columns]) + 1 / np.sqrt(np.maximum(np.diff(x.offsets), 1))
+    return columns, LEAST_FIT * float(np.quantile(fit, 0.01))
 
 
 @dataclass
@@ -99,18 +102,18 @@ class Model:
     profiles: dict[str, tuple[np.ndarray, float]]
 
     @staticmethod
-    def train(x: np.ndarray, langs: np.ndarray, families: Mapping[str, str] = FAMILIES) -> Model:
+    def train(x: svm.Rows, langs: np.ndarray, families: Mapping[str, str] = FAMILIES) -> Model:
         groups: dict[str, list[str]] = {}
         for lang in sorted(set(langs)):
             groups.setdefault(families.get(lang, lang), []).append(lang)
         members = [groups[f] for f in sorted(groups)]
-        against = [svm.train(x, np.where(np.isin(langs, m), 1, -1)) for m in members] if len(members) > 1 else [np.zeros(x.shape[1] + 1)]
+        against = [svm.train(x, np.where(np.isin(langs, m), 1, -1)) for m in members] if len(members) > 1 else [np.zeros(x.width + 1)]
         pairs = {}
         for m in members:
             for a, b in combinations(m, 2):
                 rows = np.isin(langs, [a, b])
-                pairs[a, b] = svm.train(x[rows], np.where(langs[rows] == a, 1, -1))
-        profiles = {lang: _profile(x[langs == lang]) for lang in set(langs)}
+                pairs[a, b] = svm.train(x.pick(rows), np.where(langs[rows] == a, 1, -1))
+        profiles = {lang: _profile(x.pick(langs == lang)) for lang in set(langs)}
         return Model(members, np.array(against, np.float32).T, {k: w.astype(np.float32) for k, w in pairs.items()}, profiles)
 
     def fits(self, x: np.ndarray) -> np.ndarray:
@@ -143,9 +146,13 @@ class Model:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each row's columns that are not zero, and their values."""
     for part in slices(batches):
-        x = trigrams(part.column("text")).astype(np.float16)
-        yield pa.record_batch([part.column("lang"), pa.array([r.tobytes() for r in x], pa.binary())], ["lang", "x"])
+        for start in range(0, part.num_rows, 256):
+            rows = part.slice(start, 256)
+            x = trigrams(rows.column("text")).astype(np.float16)
+            found = [(np.flatnonzero(r).astype(np.uint16).tobytes(), r[r != 0].tobytes()) for r in x]
+            yield pa.record_batch([rows.column("lang"), *(pa.array(v, pa.binary()) for v in zip(*found, strict=True))], ["lang", "at", "x"])
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, modulus: int = 4) -> Model | None:
@@ -160,13 +167,13 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     each = min(per_language, MOST_ROWS // len(counts))
     limits = [(r["lang"], max(r["first"] + 1, sample_limit(each, r["n"]))) for r in counts]
     limits = docs.sparkSession.createDataFrame(limits, "lang string, below long")
-    found = rows.join(F.broadcast(limits), "lang").filter(place < F.col("below")).select("lang", "text").mapInArrow(_features, "lang string, x binary").orderBy("lang", "x").collect()
-    if not found:
+    found = rows.join(F.broadcast(limits), "lang").filter(place < F.col("below")).select("lang", "text").mapInArrow(_features, "lang string, at binary, x binary").toArrow()
+    if not found.num_rows:
         return None
-    x, langs = np.empty((len(found), FEATURES), np.float32), np.array([r["lang"] for r in found], object)
-    for i in range(len(found)):
-        x[i], found[i] = np.frombuffer(found[i]["x"], np.float16), None
-    return Model.train(x, langs)
+    found = found.sort_by([("lang", "ascending"), ("at", "ascending"), ("x", "ascending")])  # the same rows, the same model
+    (offsets, at), (_, values) = (flat(found.column(c)) for c in ("at", "x"))
+    x = svm.Rows(offsets // 2, at.view(np.uint16).astype(np.int32), values.view(np.float16).astype(np.float32), FEATURES)
+    return Model.train(x, np.array(found.column("lang").to_pylist(), object))
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", modulus: int = 4, model: Model | None = None) -> DataFrame:

@@ -89,9 +89,58 @@ FROM n LEFT JOIN fits f ON f.h = n.host AND f.t = n.path LEFT JOIN said s ON s.n
 """
 
 
+# Levels are built upwards by recursion; the siblings of a node are windows over its run.
+OP12 = r"""
+WITH RECURSIVE
+d AS (
+  SELECT doc_id, coalesce('s' || source, 'n') AS key, source, lang, n_chars, text, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low,
+         list_reduce(list_concat([4294967295::BIGINT], list_transform(range(len(doc_id::VARCHAR)), lambda i: ascii((doc_id::VARCHAR)[i + 1])::BIGINT)),
+           lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)) AS crc
+  FROM documents),
+f AS (
+  SELECT *, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+            || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head FROM d),
+leaf AS (
+  SELECT doc_id, key, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+         CASE WHEN xor(crc, 4294967295) % 5 = 0 THEN sha256(head || coalesce(strlen(low) || ':' || low, '-')) END AS tampered FROM f),
+ranks AS (
+  SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, count(*) OVER (PARTITION BY key) AS n FROM leaf),
+tree AS (
+  SELECT key, 0 AS level, place AS idx, n, leaf AS digest FROM ranks
+  UNION ALL
+  SELECT key, level + 1, idx // 16, any_value((n + 15) // 16), sha256(string_agg(digest, '' ORDER BY idx)) FROM tree WHERE n > 1 GROUP BY key, level, idx // 16),
+subroots AS (SELECT key, level, digest, row_number() OVER (ORDER BY key) - 1 AS nth, count(*) OVER () AS n FROM tree WHERE n = 1),
+summit AS (
+  SELECT 0 AS level, nth AS idx, n, digest FROM subroots
+  UNION ALL
+  SELECT level + 1, idx // 16, any_value((n + 15) // 16), sha256(string_agg(digest, '' ORDER BY idx)) FROM summit WHERE n > 1 GROUP BY level, idx // 16),
+sides AS (
+  SELECT key, level, idx, coalesce(string_agg(digest, '') OVER before, '') AS l, coalesce(string_agg(digest, '') OVER after, '') AS r FROM tree WHERE n > 1
+  WINDOW before AS (PARTITION BY key, level, idx // 16 ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+         after AS (PARTITION BY key, level, idx // 16 ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+top_sides AS (
+  SELECT level, idx, coalesce(string_agg(digest, '') OVER before, '') AS l, coalesce(string_agg(digest, '') OVER after, '') AS r FROM summit WHERE n > 1
+  WINDOW before AS (PARTITION BY level, idx // 16 ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+         after AS (PARTITION BY level, idx // 16 ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+steps AS (
+  SELECT r.key, r.place, s.level, s.l, s.r FROM ranks r JOIN sides s ON s.key = r.key AND s.idx = r.place // (16 ** s.level)::BIGINT
+  UNION ALL
+  SELECT r.key, r.place, u.level + t.level, t.l, t.r FROM ranks r JOIN subroots u ON u.key = r.key JOIN top_sides t ON t.idx = u.nth // (16 ** t.level)::BIGINT),
+paths AS (SELECT key, place, list({'l': l, 'r': r} ORDER BY level) AS path FROM steps GROUP BY key, place),
+folded AS (
+  SELECT r.doc_id, r.leaf, u.digest AS subroot, coalesce(path, []) AS way,
+         list_reduce(list_concat([{'l': coalesce(tampered, leaf), 'r': ''}], coalesce(path, [])), lambda a, s: {'l': sha256(s.l || a.l || s.r), 'r': ''}).l AS folded_root
+  FROM ranks r JOIN subroots u ON u.key = r.key LEFT JOIN paths p ON p.key = r.key AND p.place = r.place)
+SELECT doc_id, leaf, subroot, root.digest AS root, sha256(array_to_string(list_transform(way, lambda s: s.l || s.r), '')) AS proof_sha256,
+       folded_root, folded_root = root.digest AS verified
+FROM folded, (SELECT digest FROM summit WHERE n = 1) root
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_exact_dedup": OP3,
         "op9_decontamination": OP9,
         "op10_url_filter": OP10,
+        "op12_merkle_manifest": OP12,
     }

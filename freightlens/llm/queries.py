@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from freightlens.llm import piece_codec
 from freightlens.llm.bpe_codec import decode, encode, with_digests
 from freightlens.llm.common import table
 from freightlens.llm.decontaminate import overlaps
@@ -15,11 +16,14 @@ from freightlens.llm.jaccard_join import jaccard_links
 from freightlens.llm.language_id import identify
 from freightlens.llm.license_scan import scan_licenses
 from freightlens.llm.lm_score import score_texts
+from freightlens.llm.merkle import manifest
 from freightlens.llm.quality import score_quality
 from freightlens.llm.token_counts import count_tokens
 from freightlens.llm.url_filter import judge_urls
+from freightlens.llm.whitening import whiten
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +66,19 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages")).drop("component")
 
 
+def op11_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = piece_codec.encode(table(spark, sf_dir, "documents"), PIECES)
+    return piece_codec.with_digests(piece_codec.decode(coded, PIECES))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (
         op1_jaccard_join,
@@ -74,5 +91,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_license_scan,
         op9_decontamination,
         op10_url_filter,
+        op11_piece_codec,
+        op12_merkle_manifest,
+        op13_whitening,
     )
     return {f.__name__: f for f in named}
