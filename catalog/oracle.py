@@ -6,6 +6,8 @@ joins with the charge kinds, and plain joins where the library uses other plans.
 
 from __future__ import annotations
 
+from freightlens.schema import NUMERIC_FIELDS, POSITIONS, TRIMMED_FIELDS
+
 _BASE = """
 b AS (
   SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate,
@@ -499,15 +501,28 @@ _ORDER_FILES = """
   FROM orders"""
 
 
+SCANNED = tuple(POSITIONS)
+# Mapped fields that the sample lines leave empty.
+_EMPTY = {
+    "version", "account_number", "shipper_number", "country_code", "invoice_type", "invoice_type_detail", "vat_number",
+    "invoice_total", "reference_1", "payment_terms", "actual_weight_unit", "billed_weight_unit", "package_type", "zone",
+    "sender_street", "sender_city", "sender_postal", "recipient_company", "recipient_street", "recipient_city",
+    "recipient_postal", "pickup_date", "delivery_date", "declared_value",
+}
+
+
+def _scanned(name: str) -> str:
+    """A field's text as it stands in the files, null if empty: fields to be trimmed have blanks around them."""
+    value = "NULL" if name in _EMPTY else name
+    if name in NUMERIC_FIELDS:
+        return f"CAST(CAST(coalesce({value}, 0) AS DECIMAL(28,4)) AS VARCHAR)"
+    text = f"coalesce(CAST({value} AS VARCHAR), '')"
+    return f"concat(' ', {text}, '  ')" if name in TRIMMED_FIELDS else f"nullif({text}, '')"
+
+
 def sources() -> dict[str, str]:
-    pad = "CASE WHEN {0} IS NULL THEN '   ' ELSE concat(' ', {0}, '  ') END"
     return {
-        "scan_headerless_csv": lines_sql(
-            f"""SELECT {pad.format('tracking_number')} AS c20,
-                {pad.format('charge_category')} AS c43,
-                CAST(net_amount AS VARCHAR) AS c52, coalesce(service_code, '') AS _drop,
-                concat(' ', goods_description, '  ') AS c130 FROM L"""
-        ).replace("coalesce(service_code, '') AS _drop,", ""),
+        "scan_headerless_csv": lines_sql(f"SELECT {', '.join(f'{_scanned(n)} AS {n}' for n in SCANNED)} FROM L"),
         "scan_ragged_rows": """
             WITH r AS (
               SELECT concat('supp_', l_suppkey % 10) AS source_file,

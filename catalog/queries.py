@@ -22,12 +22,12 @@ from freightlens.operators.trends import by_service, trends
 from freightlens.operators.typing import coerce_types
 from freightlens.plans import charts, display, report
 from freightlens.plans.analyzer import BillingAnalyzer
-from freightlens.schema import NA_TOKENS
+from freightlens.schema import NA_TOKENS, POSITIONS
 from freightlens.session import landed, shared_folder, tune
 from freightlens.sources import billing_csv as csv
 from freightlens.sources import sample_tables as sample
 
-from catalog.oracle import COUNTRIES, END, SERVICES, START
+from catalog.oracle import COUNTRIES, END, SCANNED, SERVICES, START
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -73,14 +73,25 @@ def on_both(op: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
 
 # --- sources -------------------------------------------------------------------
 
+def as_files(records: DataFrame) -> str:
+    """Records (``value, source_file, line_ord``) as one file for each source file; returns their folder."""
+    jvm, conf = records.sparkSession.sparkContext._jvm, records.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    base = f"{shared_folder(records.sparkSession)}/named-files-{uuid.uuid4().hex}"
+    ordered = records.repartition("source_file").sortWithinPartitions("source_file", "line_ord")
+    ordered.select("value", "source_file").write.partitionBy("source_file").text(f"{base}/parts")
+    at = lambda name: jvm.org.apache.hadoop.fs.Path(name)
+    fs = at(base).getFileSystem(conf)
+    fs.mkdirs(at(f"{base}/files"))
+    for part in fs.globStatus(at(f"{base}/parts/source_file=*/part-*")):
+        name = part.getPath().getParent().getName().split("=", 1)[1]
+        fs.rename(part.getPath(), at(f"{base}/files/{name}"))
+    return f"{base}/files"
+
+
 def scan_headerless_csv(spark: SparkSession, sf: str) -> DataFrame:
-    fields = csv.text_fields(sample.billing_text(tune(spark), sf))
-    return fields.select(
-        F.col("_c20").alias("c20"),
-        F.col("_c43").alias("c43"),
-        F.col("_c52").alias("c52"),
-        F.col("_c130").alias("c130"),
-    )
+    """Every mapped field of the lines, as text, from files."""
+    fields = csv.scan_fields(spark, as_files(sample.billing_text(tune(spark), sf)))
+    return fields.select(*[F.col(f"_c{POSITIONS[n]}").alias(n) for n in SCANNED])
 
 
 def _ragged_text(spark: SparkSession, sf: str) -> DataFrame:
@@ -107,7 +118,8 @@ def _ragged_text(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def scan_ragged_rows(spark: SparkSession, sf: str) -> DataFrame:
-    fields = csv.text_fields(_ragged_text(tune(spark), sf), csv.CsvOptions(scan_width=4))
+    folder = as_files(_ragged_text(tune(spark), sf))
+    fields = csv.scan_fields(spark, [folder], csv.CsvOptions(scan_width=4))
     return fields.select("source_file", *[F.col(f"_c{i}").alias(f"c{i}") for i in range(4)])
 
 
@@ -130,18 +142,19 @@ def decode_charset(spark: SparkSession, sf: str) -> DataFrame:
     data = F.when(nation % 2 == 0, F.encode(text, "UTF-8")).otherwise(
         F.encode(text, "ISO-8859-1")
     )
+    record = F.concat(key.cast("string").cast("binary"), F.lit(b","), data)
     lines = sample.table(spark, sf, "customer").select(
         F.concat(F.lit("file_"), nation.cast("string")).alias("source_file"),
-        key,
-        data.alias("data"),
+        key.alias("line_ord"),
+        record.cast("string").alias("value"),
     )
-    return csv.decode_text(lines).select("source_file", "c_custkey", "value")
+    fields = csv.scan_fields(tune(spark), [as_files(lines)], csv.CsvOptions(scan_width=2))
+    return fields.select("source_file", F.col("_c0").cast("long").alias("c_custkey"), F.col("_c1").alias("value"))
 
 
 def project_positions(spark: SparkSession, sf: str) -> DataFrame:
     """Files of 100 fields: what lies beyond is null."""
-    narrow = sample.billing_text(tune(spark), sf, width=100)
-    lines = csv.read_text_lines(narrow)
+    lines = csv.read_folder(spark, as_files(sample.billing_text(tune(spark), sf, width=100)))
     return lines.select(
         "tracking_number",
         "charge_category",
@@ -153,7 +166,7 @@ def project_positions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def source_lineage(spark: SparkSession, sf: str) -> DataFrame:
-    lines = csv.read_text_lines(sample.billing_text(tune(spark), sf))
+    lines = csv.read_folder(spark, as_files(sample.billing_text(tune(spark), sf)))
     return lines.groupBy("source_file").agg(
         F.count("*").alias("lines"), F.sum("net_amount").cast("double").alias("net_amount")
     )
@@ -200,13 +213,13 @@ def union_files(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _cut_off(spark: SparkSession, sf: str, folder: str) -> str:
-    """A compressed file of orders without its second half; returns its path."""
+    """The orders as small compressed files, one of which lost its second half; returns that one's path."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     at = lambda name: jvm.org.apache.hadoop.fs.Path(name)
     orders = sample.table(spark, sf, "orders").select(F.col("o_orderkey").cast("string"))
-    orders.coalesce(1).write.option("compression", "gzip").csv(f"{folder}/whole")
+    orders.write.option("compression", "gzip").option("maxRecordsPerFile", 1000).csv(f"{folder}/whole")
     files = at(folder).getFileSystem(conf)
-    (part,) = [f.getPath() for f in files.listStatus(at(f"{folder}/whole")) if f.getPath().getName().endswith(".gz")]
+    part = files.globStatus(at(f"{folder}/whole/*.gz"))[0].getPath()
     opened = files.open(part)
     half = opened.readNBytes(files.getFileStatus(part).getLen() // 2)
     opened.close()

@@ -55,9 +55,17 @@ def field_count(record: Column) -> Column:
     run. A comma in front lets the pattern start with a literal, which the regex
     engine finds fast.
     """
+    return F.size(F.split(_without_quoted(record), ",", -1)) - 1
+
+
+def _without_quoted(record: Column) -> Column:
     unescaped = F.replace(record, F.lit('""'), F.lit(""))
-    bare = F.regexp_replace(F.concat(F.lit(","), unescaped), ',"[^"]*"', ",")
-    return F.size(F.split(bare, ",", -1)) - 1
+    return F.regexp_replace(F.concat(F.lit(","), unescaped), ',"[^"]*"', ",")
+
+
+def ends_open(line: Column) -> Column:
+    """A line of CSV text ends within a quoted field. A quote inside of an unquoted one is text."""
+    return F.contains(_without_quoted(line), F.lit(',"'))
 
 
 def file_name(uri_name: Column) -> Column:
