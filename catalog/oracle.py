@@ -562,6 +562,10 @@ def sources() -> dict[str, str]:
             f"""SELECT source_file, count(*) AS lines, {total('net_amount')} AS net_amount
                 FROM L GROUP BY 1"""
         ),
+        "refresh_lines": lines_sql(
+            f"""SELECT source_file, count(*) AS lines, {total('net_amount')} AS net_amount
+                FROM L GROUP BY 1"""
+        ),
         "scan_folder": _ORDER_FILES,
         "union_files": f"""
             SELECT count(*) AS lines, count(DISTINCT invoice_number) AS invoices,

@@ -26,6 +26,7 @@ from freightlens.schema import NA_TOKENS, POSITIONS
 from freightlens.session import landed, shared_folder, tune
 from freightlens.sources import billing_csv as csv
 from freightlens.sources import sample_tables as sample
+from freightlens.streaming.refresh import LoadedTable
 
 from catalog.oracle import COUNTRIES, END, SCANNED, SERVICES, START
 
@@ -73,7 +74,7 @@ def on_both(op: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
 
 # --- sources -------------------------------------------------------------------
 
-def as_files(records: DataFrame) -> str:
+def as_files(records: DataFrame, folder: str | None = None) -> str:
     """Records (``value, source_file, line_ord``) as one file for each source file; returns their folder."""
     jvm, conf = records.sparkSession.sparkContext._jvm, records.sparkSession.sparkContext._jsc.hadoopConfiguration()
     base = f"{shared_folder(records.sparkSession)}/named-files-{uuid.uuid4().hex}"
@@ -81,11 +82,12 @@ def as_files(records: DataFrame) -> str:
     ordered.select("value", "source_file").write.partitionBy("source_file").text(f"{base}/parts")
     at = lambda name: jvm.org.apache.hadoop.fs.Path(name)
     fs = at(base).getFileSystem(conf)
-    fs.mkdirs(at(f"{base}/files"))
+    folder = folder or f"{base}/files"
+    fs.mkdirs(at(folder))
     for part in fs.globStatus(at(f"{base}/parts/source_file=*/part-*")):
         name = part.getPath().getParent().getName().split("=", 1)[1]
-        fs.rename(part.getPath(), at(f"{base}/files/{name}"))
-    return f"{base}/files"
+        fs.rename(part.getPath(), at(f"{folder}/{name}"))
+    return folder
 
 
 def scan_headerless_csv(spark: SparkSession, sf: str) -> DataFrame:
@@ -172,6 +174,21 @@ def source_lineage(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def refresh_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Two deliveries, each followed by a refresh: the second replaces a file that was cut short and adds one."""
+    base = f"{shared_folder(tune(spark))}/deliveries-{uuid.uuid4().hex}"
+    text, name = sample.billing_text(spark, sf), F.col("source_file")
+    late, short = name == "orders_1997.csv", name == "orders_1996.csv"
+    table = LoadedTable(spark, f"{base}/table")
+    as_files(text.filter(~late & (~short | (F.col("line_ord.l_linenumber") < 4))), f"{base}/in/1")
+    table.refresh(f"{base}/in/*")
+    as_files(text.filter(late | short), f"{base}/in/2")
+    table.refresh(f"{base}/in/*")
+    return table.lines.groupBy("source_file").agg(
+        F.count("*").alias("lines"), F.sum("net_amount").cast("double").alias("net_amount")
+    )
+
+
 def write_order_files(spark: SparkSession, sf: str, *odd_even: bool) -> list[str]:
     """Orders as billing CSV files in the shared folder; returns the folders."""
     key = F.col("o_orderkey")
@@ -429,6 +446,7 @@ def queries() -> dict[str, Query]:
         "decode_charset": decode_charset,
         "project_positions": project_positions,
         "source_lineage": source_lineage,
+        "refresh_lines": refresh_lines,
         "union_files": union_files,
         "scan_folder": scan_folder,
         "isolate_bad_files": isolate_bad_files,
