@@ -670,6 +670,7 @@ def rollup() -> dict[str, str]:
                 FROM sums"""
         ),
         "packages": packages_sql(f"SELECT {PACKAGE_COLUMNS} FROM P"),
+        "refresh_packages": packages_sql(f"SELECT {PACKAGE_COLUMNS} FROM P"),
     }
 
 

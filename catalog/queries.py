@@ -27,6 +27,7 @@ from freightlens.session import landed, shared_folder, tune
 from freightlens.sources import billing_csv as csv
 from freightlens.sources import sample_tables as sample
 from freightlens.streaming.refresh import LoadedTable
+from freightlens.streaming.rollup import PackageStates
 
 from catalog.oracle import COUNTRIES, END, SCANNED, SERVICES, START
 
@@ -174,21 +175,36 @@ def source_lineage(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def refresh_lines(spark: SparkSession, sf: str) -> DataFrame:
+def _two_deliveries(spark: SparkSession, sf: str, after: Callable[[LoadedTable], None]) -> LoadedTable:
     """Two deliveries, each followed by a refresh: the second replaces a file that was cut short and adds one."""
     base = f"{shared_folder(tune(spark))}/deliveries-{uuid.uuid4().hex}"
     text, name = sample.billing_text(spark, sf), F.col("source_file")
     late, short = name == "orders_1997.csv", name == "orders_1996.csv"
     table = LoadedTable(spark, f"{base}/table")
-    as_files(text.filter(~late & (~short | (F.col("line_ord.l_linenumber") < 4))), f"{base}/in/1")
-    table.refresh(f"{base}/in/*")
-    as_files(text.filter(late | short), f"{base}/in/2")
-    table.refresh(f"{base}/in/*")
+    for n, part in enumerate((~late & (~short | (F.col("line_ord.l_linenumber") < 4)), late | short)):
+        as_files(text.filter(part), f"{base}/in/{n}")
+        table.refresh(f"{base}/in/*")
+        after(table)
+    return table
+
+
+def refresh_lines(spark: SparkSession, sf: str) -> DataFrame:
+    table = _two_deliveries(spark, sf, lambda table: None)
     return table.lines.groupBy("source_file").agg(
         F.count("*").alias("lines"), F.sum("net_amount").cast("double").alias("net_amount")
     )
 
 
+def refresh_packages(spark: SparkSession, sf: str) -> DataFrame:
+    """The package rollup after two deliveries, merged from the states that each refresh added."""
+
+    def states(table: LoadedTable) -> PackageStates:
+        return PackageStates(table, f"{table.path}/states", buckets=8)
+
+    table = _two_deliveries(spark, sf, lambda table: states(table).refresh())
+    return as_doubles(states(table).packages)
+
+
 def write_order_files(spark: SparkSession, sf: str, *odd_even: bool) -> list[str]:
     """Orders as billing CSV files in the shared folder; returns the folders."""
     key = F.col("o_orderkey")
@@ -447,6 +463,7 @@ def queries() -> dict[str, Query]:
         "project_positions": project_positions,
         "source_lineage": source_lineage,
         "refresh_lines": refresh_lines,
+        "refresh_packages": refresh_packages,
         "union_files": union_files,
         "scan_folder": scan_folder,
         "isolate_bad_files": isolate_bad_files,
