@@ -643,6 +643,17 @@ def filters() -> dict[str, str]:
                 arg_min(service_name, ord) AS service_name FROM L
                 WHERE service_code IS NOT NULL GROUP BY 1)"""
         ),
+        "landed_date_bounds": lines_sql(
+            "SELECT min(shipment_date) AS min_date, max(shipment_date) AS max_date FROM L"
+        ),
+        "landed_countries": lines_sql(
+            "SELECT DISTINCT recipient_country FROM L WHERE recipient_country IS NOT NULL"
+        ),
+        "landed_services": lines_sql(
+            f"""SELECT *, {label} AS label FROM (SELECT service_code,
+                arg_min(service_name, ord) AS service_name FROM L
+                WHERE service_code IS NOT NULL GROUP BY 1)"""
+        ),
         "parse_facet_label": lines_sql(
             f"""SELECT {label} AS label, service_code AS code FROM (SELECT service_code,
                 arg_min(service_name, ord) AS service_name FROM L

@@ -26,6 +26,8 @@ from freightlens.schema import NA_TOKENS, POSITIONS
 from freightlens.session import landed, shared_folder, tune
 from freightlens.sources import billing_csv as csv
 from freightlens.sources import sample_tables as sample
+from freightlens.sources.facets import LandedFacets
+from freightlens.sources.sinks import land_lines
 from freightlens.streaming.refresh import LoadedTable
 from freightlens.streaming.rollup import PackageStates
 
@@ -360,6 +362,19 @@ _MOST = {
 }
 
 
+def on_landed(op: Callable[[LandedFacets], DataFrame]) -> Query:
+    """Facets of the lines landed by month, with their dictionary."""
+
+    def query(spark: SparkSession, sf: str) -> DataFrame:
+        path = f"{shared_folder(tune(spark))}/lines-{uuid.uuid4().hex}"
+        land_lines(sample.billing_lines(spark, sf), path)
+        facets = LandedFacets(spark, path)
+        facets.write()
+        return op(facets)
+
+    return query
+
+
 def parse_facet_label(lines: DataFrame) -> DataFrame:
     labels = filters.service_choices(lines).select("label")
     return labels.withColumn("code", filters.code_of_label(F.col("label")))
@@ -503,6 +518,9 @@ def queries() -> dict[str, Query]:
         "facet_date_bounds": on_lines(filters.date_bounds),
         "facet_countries": on_lines(filters.country_choices),
         "facet_services": on_lines(filters.service_choices),
+        "landed_date_bounds": on_landed(LandedFacets.date_bounds),
+        "landed_countries": on_landed(LandedFacets.country_choices),
+        "landed_services": on_landed(LandedFacets.service_choices),
         "parse_facet_label": on_lines(parse_facet_label),
         # package rollup
         "package_base_rows": on_lines(package_base_rows),

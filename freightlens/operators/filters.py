@@ -67,18 +67,19 @@ def country_choices(lines: DataFrame) -> DataFrame:
 
 def service_choices(lines: DataFrame) -> DataFrame:
     """Codes with the service name of their first line, and a display label."""
-    return (
+    return labelled(
         lines.filter(F.col("service_code").isNotNull())
         .groupBy("service_code")
         .agg(first_non_null("service_name").alias("service_name"))
-        .withColumn(
-            "label",
-            F.concat_ws(_SEPARATOR, "service_code", F.coalesce("service_name", F.lit("Unknown"))),
-        )
-        .orderBy("service_code")
     )
 
 
+def labelled(services: DataFrame) -> DataFrame:
+    """``service_code, service_name`` with a display label, in order of the codes."""
+    name = F.coalesce("service_name", F.lit("Unknown"))
+    return services.withColumn("label", F.concat_ws(_SEPARATOR, "service_code", name)).orderBy("service_code")
+
+
 def code_of_label(label: Column) -> Column:
     """Back from a display label to the code."""
     return F.substring_index(label, _SEPARATOR, 1)
