@@ -481,8 +481,12 @@ def filtered(where: str) -> str:
     return lines_sql(body, where)
 
 
-def lines_with(ctes: str, body: str) -> str:
-    return f"WITH {_BASE},\nL AS (SELECT * FROM all_lines),{ctes}\n{body}"
+_PARCELS_BY_CATEGORY = """SELECT cat.*, n.package_count FROM cat JOIN (SELECT charge_category,
+    count(DISTINCT tracking_number) AS package_count FROM L GROUP BY 1) n USING (charge_category)"""
+
+
+def lines_with(ctes: str, body: str, where: str = "true") -> str:
+    return f"WITH {_BASE},\nL AS (SELECT * FROM all_lines WHERE {where}),{ctes}\n{body}"
 
 
 def packages_with(ctes: str, body: str, where: str = "true") -> str:
@@ -646,6 +650,9 @@ def filters() -> dict[str, str]:
         "landed_date_bounds": lines_sql(
             "SELECT min(shipment_date) AS min_date, max(shipment_date) AS max_date FROM L"
         ),
+        "cells_charge_breakdown": lines_with(BREAKDOWN, _PARCELS_BY_CATEGORY),
+        "cells_acc_by_code": lines_with(ACC, "SELECT * FROM a_code"),
+        "cells_filtered_trends": lines_with(ACC, "SELECT * FROM a_trend", F_MOST),
         "landed_countries": lines_sql(
             "SELECT DISTINCT recipient_country FROM L WHERE recipient_country IS NOT NULL"
         ),
@@ -720,12 +727,7 @@ def analyses() -> dict[str, str]:
                total_charge FROM breakdown""",
         ),
         "cost_breakdown_pct": lines_with(BREAKDOWN, "SELECT * FROM breakdown"),
-        "charge_breakdown": lines_with(
-            BREAKDOWN,
-            """SELECT cat.*, n.package_count FROM cat JOIN (SELECT charge_category,
-               count(DISTINCT tracking_number) AS package_count FROM L GROUP BY 1) n
-               USING (charge_category)""",
-        ),
+        "charge_breakdown": lines_with(BREAKDOWN, _PARCELS_BY_CATEGORY),
         "by_destination": packages_with(DESTINATION, "SELECT * FROM dest0"),
         "by_destination_enriched": packages_with(DESTINATION, "SELECT * FROM destination"),
         "country_lookup": packages_with(

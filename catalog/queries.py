@@ -26,6 +26,7 @@ from freightlens.schema import NA_TOKENS, POSITIONS
 from freightlens.session import landed, shared_folder, tune
 from freightlens.sources import billing_csv as csv
 from freightlens.sources import sample_tables as sample
+from freightlens.sources.cells import LineCells
 from freightlens.sources.facets import LandedFacets
 from freightlens.sources.sinks import land_lines
 from freightlens.streaming.refresh import LoadedTable
@@ -362,6 +363,21 @@ _MOST = {
 }
 
 
+def on_cells(op: Callable[[LineCells], DataFrame]) -> Query:
+    """Cells of lines that were landed in two deliveries, with a refresh after each."""
+
+    def query(spark: SparkSession, sf: str) -> DataFrame:
+        cells = LineCells(spark, f"{shared_folder(tune(spark))}/lines-{uuid.uuid4().hex}")
+        lines = landed(sample.billing_lines(spark, sf))
+        late = F.col("source_file") >= "orders_1996"
+        for part, mode in ((~late, "overwrite"), (late, "append")):
+            land_lines(lines.filter(part), cells.path, mode)
+            cells.refresh()
+        return op(cells)
+
+    return query
+
+
 def on_landed(op: Callable[[LandedFacets], DataFrame]) -> Query:
     """Facets of the lines landed by month, with their dictionary."""
 
@@ -521,6 +537,9 @@ def queries() -> dict[str, Query]:
         "landed_date_bounds": on_landed(LandedFacets.date_bounds),
         "landed_countries": on_landed(LandedFacets.country_choices),
         "landed_services": on_landed(LandedFacets.service_choices),
+        "cells_charge_breakdown": on_cells(LineCells.charge_breakdown),
+        "cells_acc_by_code": on_cells(LineCells.accessorials_by_code),
+        "cells_filtered_trends": on_cells(lambda cells: cells.accessorial_trends(**_MOST)),
         "parse_facet_label": on_lines(parse_facet_label),
         # package rollup
         "package_base_rows": on_lines(package_base_rows),
