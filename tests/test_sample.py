@@ -3,6 +3,7 @@
 import re
 
 from catalog.queries import as_split_files
+from freightlens.operators.filters import service_choices
 from freightlens.sources import billing_csv as csv
 from freightlens.sources import sample_tables as sample
 from tests.helpers import plan, rows
@@ -24,3 +25,8 @@ def test_a_named_file_may_be_written_by_several_tasks(spark):
     fields = csv.scan_fields(spark, as_split_files(records), csv.CsvOptions(scan_width=2))
     assert sorted(rows(fields, "_c0", "source_file")) == sorted((str(i), name) for _, name, i in made)
     assert fields.select("file_key").distinct().count() > 2
+
+
+def test_services_are_found_without_a_sort_of_the_lines(spark, sf_dir):
+    text = plan(service_choices(sample.billing_lines(spark, sf_dir)))
+    assert "ObjectHashAggregate" in text and "SortAggregate" not in text, text
