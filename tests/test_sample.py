@@ -2,10 +2,12 @@
 
 import re
 
-from catalog.queries import as_split_files
+from catalog.queries import as_split_files, queries
 from freightlens.operators.filters import service_choices
+from freightlens.session import tune
 from freightlens.sources import billing_csv as csv
 from freightlens.sources import sample_tables as sample
+from freightlens.sources.sinks import write_lines
 from tests.helpers import plan, rows
 
 
@@ -27,6 +29,34 @@ def test_a_named_file_may_be_written_by_several_tasks(spark):
     assert fields.select("file_key").distinct().count() > 2
 
 
+def test_kinds_are_not_interpreted_by_row(spark, sf_dir):
+    text = plan(queries()["charge_breakdown"](spark, sf_dir))
+    assert "lambda" not in text, text
+
+
+def test_parcel_rows_hold_only_what_lines_read(spark, sf_dir):
+    types = dict(sample.parcels(spark, sf_dir).dtypes)
+    assert not {"l_suppkey", "l_linestatus", "customer_region", "supplier_region"} & set(types)
+    assert (types["shipped"], types["price"]) == ("date", "decimal(18,2)")
+
+
 def test_services_are_found_without_a_sort_of_the_lines(spark, sf_dir):
     text = plan(service_choices(sample.billing_lines(spark, sf_dir)))
     assert "ObjectHashAggregate" in text and "SortAggregate" not in text, text
+
+
+def test_partitions_grow_from_the_default_only(spark):
+    other = spark.newSession()
+    for chosen, wanted in (("200", "1200"), ("7", None)):
+        other.conf.set("spark.sql.shuffle.partitions", chosen)
+        other.conf.unset("spark.sql.adaptive.coalescePartitions.initialPartitionNum")
+        assert tune(other).conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None) == wanted
+
+
+def test_lines_are_written_by_month_without_a_sort(spark, sf_dir, tmp_path):
+    assert int(spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")) > 0
+    lines = sample.billing_lines(spark, sf_dir, rows=sample.by_month(sample.parcels(spark, sf_dir)))
+    write_lines(lines, str(tmp_path / "lines"), spread=False)
+    files = list((tmp_path / "lines").glob("month=*/*.parquet"))
+    assert files and all(".zstd." in f.name for f in files)
+    assert spark.read.parquet(str(tmp_path / "lines")).count() == lines.count()
