@@ -2,6 +2,9 @@
 
 import re
 
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
 from catalog.queries import as_split_files, queries
 from freightlens.operators.filters import service_choices
 from freightlens.session import tune
@@ -21,6 +24,35 @@ def test_items_are_not_shuffled_for_small_dimensions(spark, sf_dir):
     assert set(re.findall(r"hashpartitioning\((\w+)#", text)) <= {"l_orderkey", "o_orderkey"}, text
 
 
+def test_bare_items_are_shuffled_where_nothing_may_be_broadcast(spark, sf_dir):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(sample.billing_lines(spark, sf_dir))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    keys = re.findall(r"hashpartitioning\((\w+)#", text)
+    assert "l_suppkey" not in keys, text
+    assert keys.index("l_orderkey") < keys.index("l_partkey"), text  # the plan's last step is printed first
+
+
+def test_items_without_a_part_count_for_the_places_of_others(spark, sf_dir, tmp_path):
+    for name in ("nation", "customer", "supplier", "orders"):
+        sample.table(spark, sf_dir, name).write.parquet(f"{tmp_path}/{name}.parquet")
+    part, item = sample.table(spark, sf_dir, "part"), sample.table(spark, sf_dir, "lineitem")
+    part.filter("p_partkey % 3 != 0").unionByName(part.filter("p_partkey = 1")).write.parquet(f"{tmp_path}/part.parquet")
+    item = item.withColumn("l_linenumber", F.lit(1))
+    item.unionByName(item.filter("l_orderkey % 2 = 0").withColumn("l_partkey", F.lit(None).cast("long"))).write.parquet(
+        f"{tmp_path}/lineitem.parquet"
+    )
+    item, part = sample.table(spark, str(tmp_path), "lineitem"), sample.table(spark, str(tmp_path), "part")
+    in_order = Window.partitionBy("l_orderkey").orderBy(*sample._ROW_ORDER[1:])
+    placed = item.withColumn("place", F.dense_rank().over(in_order)).join(part, F.col("l_partkey") == F.col("p_partkey"))
+    wanted = placed.select("l_orderkey", "place", "l_quantity", "p_size")
+    got = sample.parcels(spark, str(tmp_path)).select(*wanted.columns)
+    assert got.count() and not got.exceptAll(wanted).count() and not wanted.exceptAll(got).count()
+
+
 def test_a_named_file_may_be_written_by_several_tasks(spark):
     made = [(f"{i},a", "x.csv" if i % 3 else "y.csv", i) for i in range(12)]
     records = spark.createDataFrame(made, "value string, source_file string, line_ord int").repartition(3, "line_ord")
