@@ -85,6 +85,16 @@ def test_partitions_grow_from_the_default_only(spark):
         assert tune(other).conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None) == wanted
 
 
+def test_written_parcel_rows_are_read_in_small_parts(spark):
+    key = "spark.sql.files.maxPartitionBytes"
+    for chosen, wanted in ((None, "16m"), ("32m", "32m")):
+        other = spark.newSession()
+        other.conf.unset(key)
+        if chosen:
+            other.conf.set(key, chosen)
+        assert tune(other).conf.get(key) == wanted
+
+
 def test_lines_are_written_by_month_without_a_sort(spark, sf_dir, tmp_path):
     assert int(spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")) > 0
     lines = sample.billing_lines(spark, sf_dir, rows=sample.by_month(sample.parcels(spark, sf_dir)))
