@@ -213,6 +213,23 @@ def test_each_symbol_is_scored_once():
     assert (x[place >= 0][firsts] == lm.OUTPUTS).all() and (x[place >= 0][~firsts] == symbols[scored[~firsts] - 1]).all()
 
 
+def test_no_probabilities_of_context_are_worked_out(monkeypatch):
+    rng = np.random.default_rng(2)
+    lengths = np.array([0, 1, lm.WINDOW, 40 * lm.WINDOW + 5, 30 * lm.WINDOW])
+    offsets, ids = np.concatenate([[0], np.cumsum(lengths)]), rng.integers(0, 300, lengths.sum())
+    symbols = lm.Symbols.of(np.bincount(ids, minlength=300).astype(float), ids)
+    model = lm.Model(None, symbols, lm.Attention.fresh(ids=301))
+    model.attention.p["id"][:] = rng.standard_normal((301, lm.WIDTH))
+    x, y, place = lm.windows(offsets, ids, start=300)
+    said = np.where(place >= 0, model.attention.log10(symbols.with_start()[x], symbols.with_start()[y], x), 0).sum(axis=1)
+    want = np.bincount(np.searchsorted(offsets, place.max(axis=1), "right") - 1, said, len(lengths))
+    want += np.bincount(np.repeat(np.arange(len(lengths)), lengths), symbols.share[ids], len(lengths))
+    rows, given = [], lm.Attention.logits
+    monkeypatch.setattr(lm.Attention, "logits", lambda self, h2: rows.append(len(h2)) or given(self, h2))
+    assert np.allclose(model.score(offsets, ids), want, rtol=1e-5)
+    assert sum(rows) <= lengths.sum() + len(lengths) * lm.WINDOW  # with context it was nearly twice that
+
+
 def test_each_symbol_behind_a_border_has_half_a_window_of_context():
     n = 5 * lm.WINDOW + 3
     _, _, place = lm.windows(np.array([0, n]), np.arange(n) % lm.OUTPUTS)
