@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from freightlens.llm import bpe
-from freightlens.llm.common import flat, slices, strings, taken
+from freightlens.llm.common import flat, slices, strings, taken, written
 from freightlens.llm.pretokens import encoded_dictionary, split
 from freightlens.session import shared_folder
 
@@ -175,7 +175,10 @@ def build_lexicon(docs: DataFrame, vocabulary: bpe.Vocabulary, text_col: str = "
 
 
 def encode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", lexicon_words: int = LEXICON_WORDS) -> DataFrame:
-    """One row per document: doc_id and its ids, an array of int."""
+    """One row per document: doc_id and its ids, an array of int.
+
+    They are written: a task that also decoded them would keep a second Python worker beside this one.
+    """
     spark = docs.sparkSession
     vocabulary = bpe.load(vocabulary_path)
     name = _shipped(spark, build_lexicon(docs, vocabulary, text_col, lexicon_words).to_bytes())
@@ -198,7 +201,7 @@ def encode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_c
             yield pa.record_batch([part.column("doc_id"), pa.ListArray.from_arrays(cut, pa.array(ids.astype(np.int32)))], ["doc_id", "ids"])
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, ids array<int>")
+    return written(rows.mapInArrow(run, "doc_id long, ids array<int>"))
 
 
 def _ids_of(distinct: pa.Array, words: bpe.Vocabulary, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray]:

@@ -67,6 +67,12 @@ def test_digests(spark, library):
     assert tuple(got[2])[1:] == (0, digest(""), digest(""))
 
 
+def test_a_task_codes_or_decodes(docs):
+    """Each operator in a chain keeps a Python worker of its own in every running task."""
+    plan = with_digests(decode(encode(docs, VOCABULARY), VOCABULARY))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
 def test_empty_table(spark, docs):
     none = docs.limit(0)
     assert count_tokens(none, VOCABULARY).collect() == []
