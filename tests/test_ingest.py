@@ -382,3 +382,17 @@ def test_many_files_are_a_table(spark, tmp_path):
     first, last = (both.orderBy(o).first() for o in (F.asc("place"), F.desc("place")))
     assert (first.source_file, last.source_file) == ("000000.csv", "004999.csv")
     assert "/b/" in first.file_key and "/a/" in last.file_key
+
+
+def test_compressed_files_of_a_folder_have_their_plain_names(spark, tmp_path):
+    text = "".join(csv_row(**{**BASE, "recipient_city": c}) + "\n" for c in ("Köln", "Ulm")).encode()
+    (tmp_path / "a b+.csv.gz").write_bytes(gzip.compress(text, mtime=0))
+    (tmp_path / "cut.csv.gz").write_bytes(gzip.compress(text * 50, mtime=0)[:-40])
+    (tmp_path / "plain.csv").write_bytes(text)
+    folder, packed = str(tmp_path), CsvOptions(codec="gz", on_bad_file="skip")
+    lines = read_folder(spark, folder, packed)
+    assert sorted(rows(lines, "source_file", "recipient_city")) == [("a b+.csv", "Köln"), ("a b+.csv", "Ulm")]
+    assert rows(lines.select("line_ord.file").distinct()) == [("a b+.csv",)]
+    found = rows(manifest(spark, folder, packed).select("source_file", "rows", "status"))
+    assert sorted(found) == [("a b+.csv", 2, "loaded"), ("cut.csv", 0, "failed")]
+    assert {r[0] for r in rows(read_folder(spark, folder), "source_file")} == {"plain.csv"}

@@ -1,3 +1,5 @@
+from pathlib import Path
+
 """How the sample's lines and files are made."""
 
 import re
@@ -102,3 +104,13 @@ def test_lines_are_written_by_month_without_a_sort(spark, sf_dir, tmp_path):
     files = list((tmp_path / "lines").glob("month=*/*.parquet"))
     assert files and all(".zstd." in f.name for f in files)
     assert spark.read.parquet(str(tmp_path / "lines")).count() == lines.count()
+
+
+def test_text_of_the_lines_is_written_compressed(spark, sf_dir):
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    for name in ("scan_headerless_csv", "project_positions", "source_lineage"):
+        before = set(shared.glob("named-files-*"))
+        queries()[name](spark, sf_dir)
+        (folder,) = set(shared.glob("named-files-*")) - before
+        files = [p for p in folder.glob("files/*/*") if not p.name.startswith(".")]
+        assert files and all(p.name.endswith(".csv.gz") for p in files), name
