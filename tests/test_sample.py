@@ -1,8 +1,7 @@
-from pathlib import Path
-
 """How the sample's lines and files are made."""
 
 import re
+from pathlib import Path
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -114,3 +113,11 @@ def test_text_of_the_lines_is_written_compressed(spark, sf_dir):
         (folder,) = set(shared.glob("named-files-*")) - before
         files = [p for p in folder.glob("files/*/*") if not p.name.startswith(".")]
         assert files and all(p.name.endswith(".csv.gz") for p in files), name
+
+
+def test_names_are_looked_up_behind_the_shuffle_by_month(spark, sf_dir):
+    spread = sample.parcels(spark, sf_dir, spread=True)
+    above = plan(spread).split("REBALANCE_PARTITIONS_BY_COL", 1)[0]
+    assert set(re.findall(r"BroadcastHashJoin \[(\w+)#", above)) == {"l_suppkey", "c_nationkey", "s_nationkey"}
+    rows_, spread = sample.parcels(spark, sf_dir), spread.select(sample.parcels(spark, sf_dir).columns)
+    assert not rows_.exceptAll(spread).count() and not spread.exceptAll(rows_).count()
