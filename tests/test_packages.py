@@ -4,7 +4,7 @@ from freightlens import BillingAnalyzer
 from freightlens.operators.countries import DIMENSION
 from freightlens.operators.packages import package_sums, packages
 from freightlens.operators.top import top_expenses, top_packages
-from tests.helpers import charge, frt, make_lines, rows
+from tests.helpers import charge, frt, make_lines, plan, rows
 
 
 def _totals(lines):
@@ -125,3 +125,28 @@ def test_keep_and_release(spark):
         assert a.packages.count() == 1
         assert rows(a.get_top_expenses(5), "total_charge") == [(10.0,)]
     assert rows(a.get_top_expenses(5), "total_charge") == [(10.0,)]
+
+
+def test_attributes_read_together_are_the_first_of_each(spark):
+    place = {"invoice_number": "I", "invoice_date": "2025-12-01", "order_reference": "#1", "sender_name": "S", "sender_country": "DE",
+             "recipient_name": "R", "recipient_country": "FR", "shipment_type": "SHP", "shipment_subtype": "NSD", "goods_description": "G"}
+    some = {"shipment_date": "2025-12-02", "service_code": "003", "charge_description": "TB"}
+    made = []
+    for i in range(60):
+        row = {n: f"{v}{i}" if n in ("sender_name", "recipient_name", "goods_description", "service_code", "charge_description") else v for n, v in {**place, **some}.items()}
+        row |= {"actual_weight": i, "billed_weight": i, "recipient_city": f"c{i}" if i % 4 else None}
+        lost = [n for k, n in enumerate(row) if (i * 7 + k * 5) % 11 < i % 4]  # every fourth row is whole
+        made.append(frt(f"1Z{(i * i) % 9}", **{n: v for n, v in row.items() if n not in lost}))
+        made.append(charge(f"1Z{i % 9}", "FSC", net_amount="1"))
+    lines = make_lines(spark, made)
+    kept = make_lines(spark, [*made[::4], *[{**r, "charge_category": "INF"} for r in made[1::4]]])
+    for x in (lines, lines.repartition(3, "net_amount"), kept, kept.filter("charge_category != 'FRT'"), lines.filter("false")):
+        one, all_ = packages(x), packages(x, whole=True)
+        assert all_.dtypes == one.dtypes
+        assert sorted(map(str, rows(all_))) == sorted(map(str, rows(one)))
+
+
+def test_attributes_read_together_carry_two_orders(spark):
+    made = packages(make_lines(spark, [frt("1Z1")]), whole=True)
+    partial = next(line for line in plan(made).splitlines() if "partial_min" in line)
+    assert partial.count("partial_min_by") == 3, partial  # cities and company
